@@ -8,7 +8,8 @@ lesser of its cap and weight times level.
 Sampling: a source whose target is r times its words takes floor(r) copies of each
 document for certain.  The rest, a share p of its words, is sampled: document i gets a uniform
 number u (of its id, so reruns agree) and the rank [u/(1-u)] / [p/(1-p)], the ratio of random odds to
-inclusion odds; the least ranks are taken until the source's words are nearest to the target.
+inclusion odds; the least ranks are taken while they fit
+the target, and then those of the next FILL ranks that still fit.
 Inclusion odds may differ by document (``odds``, a positive factor on them); by default they
 differ by source only, so that each word of a source is as likely as any other.
 
@@ -29,6 +30,8 @@ CAP = 3
 CYCLE = 3
 #: Rank buckets of a source.
 BUCKETS = 4096
+#: Documents after the cut-off that may fill what is missing.
+FILL = 64
 SEED = "mix-1"
 
 
@@ -59,6 +62,17 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("s_null", "s", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(level * F.col("w")).alias("target"))
 
 
+def _key(r: str, doc_id: str) -> Column:
+    """Order of documents in a source: rank, then id; null ids first."""
+    return F.struct(F.col(r).alias("r"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62))).alias("id"))
+
+
+def _taken(bucket: Column, key: Column) -> Column:
+    """Whether a document comes before its source's cut-off."""
+    at_edge = (bucket == F.col("_mx_edge")) & F.coalesce(key <= F.col("_mx_last"), F.lit(False))
+    return F.when(F.col("_mx_edge").isNull(), F.col("_mx_need") > 0).otherwise((bucket < F.col("_mx_edge")) | at_edge)
+
+
 def mix(docs: DataFrame, odds: Column | None = None, seed: str = SEED) -> DataFrame:
     """All documents with every column of theirs, and mix_size, mix_source_size, mix_target, mix_copies.
 
@@ -91,17 +105,24 @@ def mix(docs: DataFrame, odds: Column | None = None, seed: str = SEED) -> DataFr
     edge = stored(edge, "mix-edge")
     inside = ranked.join(maybe_broadcast(edge, n_sources), ["s_null", "s", "b"]).groupBy("s_null", "s", "r", "id").agg(F.sum("size").alias("n"), F.first("before").alias("before"), F.first("need").alias("need"))
     upto = F.col("before") + F.sum("n").over(W.partitionBy("s_null", "s").orderBy("r", F.col("id").asc_nulls_first()))
-    inside = inside.withColumn("upto", upto).where(2 * F.col("upto") - F.col("n") <= 2 * F.col("need"))
-    last = inside.groupBy("s_null", "s").agg(F.max(F.struct("r", F.coalesce("id", F.lit(-(1 << 62))).alias("id"))).alias("last"))
+    inside = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("need"))
+    last = inside.groupBy("s_null", "s").agg(F.max(_key("r", "id")).alias("last"), F.max("upto").alias("used"))
     # Documents below the edge bucket are taken, those of it up to the last one; a source without an edge takes all it needs.
-    cut = goal.join(edge.select("s_null", "s", F.col("b").alias("edge")), ["s_null", "s"], "left").join(last, ["s_null", "s"], "left")
-    cut = stored(cut.select(*[F.col(c).alias(f"_mx_{'sn' if c == 's_null' else c}") for c in ("s_null", "s", "source_size", "target", "whole", "need", "p", "edge", "last")]), "mix-cut")
+    cut = goal.join(edge.withColumnRenamed("b", "edge"), ["s_null", "s"], "left").join(last, ["s_null", "s"], "left")
+    cut = cut.withColumn("gap", F.when(F.col("edge").isNull(), 0.0).otherwise(F.col("need") - F.coalesce("used", "before")))
+    cut = stored(cut.select(*[F.col(c).alias(f"_mx_{'sn' if c == 's_null' else c}") for c in ("s_null", "s", "source_size", "target", "whole", "need", "p", "edge", "last", "gap")]), "mix-cut")
+    # What is then missing is less than the next document: of the next FILL in rank order, those that still fit are added.
+    rest = ranked.join(maybe_broadcast(cut, n_sources), (F.col("s_null") == F.col("_mx_sn")) & (F.col("s") == F.col("_mx_s")))
+    rest = rest.where((F.col("_mx_gap") > 0) & (F.col("size") > 0) & ~_taken(F.col("b"), _key("r", "id"))).select("_mx_sn", "_mx_s", "_mx_gap", _key("r", "id").alias("k"), "size")
+    rest = rest.withColumn("nth", F.row_number().over(W.partitionBy("_mx_sn", "_mx_s").orderBy("k"))).where(F.col("nth") <= FILL)
+    rest = rest.groupBy("_mx_sn", "_mx_s").agg(F.first("_mx_gap").alias("gap"), F.array_sort(F.collect_list(F.struct("k", "size"))).alias("next"))
+    fill = F.expr("""aggregate(next, named_struct('gap', gap, 'a', cast(array() as array<struct<r:double,id:bigint>>)),
+        (acc, x) -> if(x.size <= acc.gap, named_struct('gap', acc.gap - x.size, 'a', array_append(acc.a, x.k)), acc), acc -> acc.a)""")
+    cut = cut.join(rest.select("_mx_sn", "_mx_s", fill.alias("_mx_fill")), ["_mx_sn", "_mx_s"], "left")
     d = d.join(maybe_broadcast(cut, n_sources), ["_mx_sn", "_mx_s"])
-    r = rank(uniform(F.col("_mx_id"), seed), F.col("_mx_p"), F.col("_mx_o"))
-    me = F.struct(r.alias("r"), F.coalesce(F.col("_mx_id"), F.lit(-(1 << 62))).alias("id"))
-    b = F.floor(r * BUCKETS)
-    at_edge = (b == F.col("_mx_edge")) & F.coalesce(me <= F.col("_mx_last"), F.lit(False))
-    extra = F.when(F.col("_mx_edge").isNull(), F.col("_mx_need") > 0).otherwise((b < F.col("_mx_edge")) | at_edge)
+    d = d.withColumn("_mx_r", rank(uniform(F.col("_mx_id"), seed), F.col("_mx_p"), F.col("_mx_o")))
+    me = _key("_mx_r", "_mx_id")
+    extra = _taken(F.floor(F.col("_mx_r") * BUCKETS), me) | F.coalesce(F.array_contains("_mx_fill", me), F.lit(False))
     copies = F.col("_mx_whole") + F.when(F.col("_mx_size") == 0, F.lit(0)).otherwise(extra.cast("int"))
     made = (F.col("_mx_size"), F.col("_mx_source_size"), F.col("_mx_target"), F.least(copies, F.lit(CAP)).cast("long"))
     return d.select(*kept, *[c.alias(n) for c, n in zip(made, mine, strict=True)])

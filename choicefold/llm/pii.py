@@ -165,9 +165,10 @@ def fit(found: DataFrame, rounds: int = 50) -> SpanModel:
     return SpanModel(weights, reliability)
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``pii_base`` and ``pii_spans`` (base and added), each an array of kind, s, e in order of kind, then s."""
-    found = stored(find(docs), "pii")
+def detect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, if not asked for) with ``pii_base`` and ``pii_spans`` (base and added), each an array of kind, s, e in order of kind, then s."""
+    found = find(docs)
+    found = stored(found if keep_text else found.drop("text"), "pii")
     model = fit(found)
     added = F.transform(F.filter("pii_cands", model.accepts), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
     return found.withColumn("pii_spans", F.array_sort(F.concat("pii_base", added))).withColumn("pii_base", F.array_sort("pii_base")).drop("pii_cands")
