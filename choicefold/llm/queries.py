@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, pii, quality_classifier, quality_rules, token_counts, token_orc, url_filter
+from . import ann, jaccard, mixing, packing, pii, quality_classifier, quality_rules, token_counts, token_orc, url_filter
 from .common import table_path
 from .tokens import vocabulary
 
@@ -16,6 +16,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = table_path(spark, "tokens-orc")
     token_orc.write_tokens(_docs(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -71,7 +75,7 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[n(k) for k in pii.BASE], F.sha2(pii.written("pii_base").cast("binary"), 256).alias("base_sha256"), pii.written("pii_spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op3_token_counts, op4_pareto_mix, op5_parity_join, op6_boosted_urls, op7_rule_cascade, op8_fourier_quality, op9_power_of_two_packing, op10_weak_pii)}
+QUERIES = {f.__name__: f for f in (op1_projection_forest, op2_token_orc, op3_token_counts, op4_pareto_mix, op5_parity_join, op6_boosted_urls, op7_rule_cascade, op8_fourier_quality, op9_power_of_two_packing, op10_weak_pii)}
 
 
 def queries() -> dict:
