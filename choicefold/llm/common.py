@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,13 +67,19 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= most else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each batch in runs of rows of about ``most`` characters (one row at least), with the texts; null becomes ''."""
+def runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Each batch in runs of rows with about ``most`` bytes of text (one row at least)."""
     for batch in batches:
-        texts = [x or "" for x in batch.column(column).to_pylist()]
-        start = total = 0
-        for i, x in enumerate(texts):
-            total += len(x)
-            if total >= most or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, total = i + 1, 0
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+        start, ends = 0, np.cumsum(sizes)
+        while start < batch.num_rows:
+            upto = int(np.searchsorted(ends, most + (ends[start - 1] if start else 0), side="right"))
+            upto = max(start + 1, upto)
+            yield batch.slice(start, upto - start)
+            start = upto
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """:func:`runs` with the texts as strings; null becomes ''."""
+    for batch in runs(batches, column, most):
+        yield batch, [x or "" for x in batch.column(column).to_pylist()]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import runs
 from .tokens import encoder
 
 MOST = 2048
@@ -37,8 +37,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, keep_space: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, keep_space)
-        for batch, texts in slices(batches, "text"):
-            ids, per = enc.encode(texts)
+        for batch in runs(batches, "text"):
+            ids, per = enc.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(per), end_id).astype("<u4")
             per = per + 1
             cuts = [lengths(n, most) for n in per.tolist()]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, slices
+from .common import maybe_broadcast, runs
 from .tokens import encoder
 
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -34,8 +34,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, keep_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(vocabulary, keep_space), 0
-        for batch, texts in slices(batches, "text"):
-            ids, per = enc.encode(texts)
+        for batch in runs(batches, "text"):
+            ids, per = enc.encode(batch.column("text"))
             ends = np.cumsum(per)
             ids = np.insert(ids, ends, end_id).astype(np.int32)
             per = per + 1
