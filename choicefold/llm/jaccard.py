@@ -23,20 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, slices, stored
+from .common import maybe_broadcast, runs, stored
 from .components import components
 
 #: Ratio of a size band.
 BAND = 1.5
 #: Document ids that may be broadcast (8 bytes each); beyond it the text is shuffled.
 BROADCAST_IDS = 2_000_000
-_WORDS: dict[bytes, int] = {}
-_KEEP = 1_000_000
 _U = np.uint64
 
 
@@ -48,22 +47,31 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def shingle_set(text: str, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``n`` words; of the whole sequence if it is shorter."""
-    ws = text.encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
-        return np.zeros(0, _U)
-    if len(_WORDS) > _KEEP:
-        _WORDS.clear()
-    for w in set(ws) - _WORDS.keys():
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, ws), _U, len(ws))
-    k = min(n, len(h))
-    acc = np.zeros(len(h) - k + 1, _U)
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles of ``n`` words; of the whole sequence if it is shorter."""
+    # The replacement comes first: it makes a new array, and ascii_lower() garbles slices of one.
+    spaced = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"[\t\n\x0b\x0c\r]", " ")
+    lists = pc.split_pattern(pc.ascii_lower(spaced), " ")
+    coded = lists.flatten().dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    index, per = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    if "" in known:  # spaces in a row leave empty words
+        full = index != known.index("")
+        per = np.bincount(np.repeat(np.arange(len(per)), per)[full], minlength=len(per))
+        index = index[full]
     with np.errstate(over="ignore"):
-        for i in range(k):
-            acc = acc * _U(0x9E3779B97F4A7C15) + _mix(h[i : len(h) - k + 1 + i], 0x5851F42D4C957F2D)
-        return np.unique(_mix(acc, k))
+        h = _mix(np.fromiter(map(xxhash.xxh3_64_intdigest, known), _U, len(known)), 0x5851F42D4C957F2D)[index]
+
+        def joined(x: np.ndarray, k: int) -> np.ndarray:
+            acc = np.zeros(max(0, len(x) - k + 1), _U)
+            for i in range(k):
+                acc = acc * _U(0x9E3779B97F4A7C15) + x[i : i + len(acc)]
+            return _mix(acc, k)
+
+        every, out = joined(h, n), []
+        for start, k in zip((np.cumsum(per) - per).tolist(), per.tolist(), strict=True):
+            out.append(np.unique(every[start : start + k - n + 1]) if k >= n else joined(h[start : start + k], k) if k else np.zeros(0, _U))
+    return out
 
 
 def most_apart(a: int, percent: int) -> int:
@@ -120,8 +128,8 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles and two 64-bit sums that name the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text"):
-            sets = [shingle_set(t, n) for t in texts]
+        for batch in runs(batches, "text"):
+            sets = shingle_sets(batch.column("text"), n)
             with np.errstate(over="ignore"):
                 hi, lo = ([int(_mix(s, seed).sum(dtype=_U).astype(np.int64)) for s in sets] for seed in (0x1234567, 0x89ABCDE))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["doc_id", "n_shingles", "hi", "lo"])
@@ -132,8 +140,8 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
 def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        for batch, texts in slices(batches, "text", 1_000_000):
-            found = [block_keys(shingle_set(t, n), bands) for t in texts]
+        for batch in runs(batches, "text", 2_000_000):
+            found = [block_keys(h, bands) for h in shingle_sets(batch.column("text"), n)]
             of = np.repeat(np.arange(len(found)), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("doc_id").take(pa.array(of))], ["key", "doc"])
 
@@ -142,8 +150,8 @@ def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", 1_000_000):
-            sets = [shingle_set(t, n) for t in texts]
+        for batch in runs(batches, "text", 2_000_000):
+            sets = shingle_sets(batch.column("text"), n)
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(at, np.concatenate(sets).view(np.int64))], ["doc", "hs"])
 
