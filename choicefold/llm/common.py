@@ -67,7 +67,7 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= most else df
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Each batch in runs of rows with about ``most`` bytes of text (one row at least)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)

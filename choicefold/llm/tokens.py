@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker keeps, about 200 bytes each; beyond it the dictionary starts anew (a bound of memory, not of work).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 #: Two characters of white space in a row, or one at an end, by any definition.
 _WHITE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
 _ODD = f"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$|\\x00"
@@ -99,6 +99,8 @@ class WordEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, _ODD if self.keep_space else "\\x00")
         plain = pc.if_else(odd, "", texts)
+        # A letter and the full stop or comma after it are never in one piece.
+        plain = pc.replace_substring_regex(plain, r"(\pL)([.,])", "\\1 \0\\2" if self.keep_space else r"\1 \2")
         if self.keep_space:
             plain = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), plain, pa.scalar("", pa.large_string())), "\n", " \n")
         else:
