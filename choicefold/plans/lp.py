@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
-PRIMAL, PIVOT = 1e-10, 1e-11
+PRIMAL, PIVOT = 1e-12, 1e-11
+#: A violation of this relative size may stay when pivots don't move the vertex any more.
+NOISE = 1e-9
 REFRESH = 40
 
 
@@ -67,7 +69,7 @@ class GrowingLP:
             short = np.concatenate([self.lower - self.x, self.x - self.upper, (self.b - self.a @ self.x) / norms])
             short[self.active] = 0
             limit = PRIMAL * max(1.0, np.abs(self.x).max())
-            if short.max() <= limit:
+            if short.max() <= limit or (stalled > 10 * self.n + 100 and short.max() <= limit * NOISE / PRIMAL):
                 return self.x
             p = int(np.flatnonzero(short > limit)[0]) if stalled > 5 * self.n + 50 else int(short.argmax())
             alpha = self.inverse.T @ self._row(p)

@@ -166,15 +166,15 @@ class Master:
             points, self._on = self._points, []
             for p in points:
                 self._added(p)
-        last = np.inf
+        before = None
         for _ in range(20_000):
             x = self._lp.solve()
             theta, total = x[:-1], float(x[-1])
             u, at = self._highest(theta)
             value = float(self.w @ u)
-            if value - total <= AGREE * max(1.0, abs(value)) or (len(self._on) > 50 and value - total >= last and value - total <= 1e-9 * max(1.0, abs(value))):
-                break
-            last = value - total
+            if value - total <= AGREE * max(1.0, abs(value)) or (before is not None and np.array_equal(before, x)):
+                break  # they agree, or the last tangent was within the program's own precision
+            before = x.copy()
             self._added(theta, at)
             if len(self._on) > KEEP_TANGENTS:
                 loose = self._lp.a @ x - self._lp.b
