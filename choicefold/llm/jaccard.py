@@ -9,8 +9,9 @@ bits set come first, so empty and nearly empty blocks, which unrelated documents
 A block is kept sparsely, as the XOR of the hashes of its set bits.
 
 Equal sets are one class from the start.  Candidates of one block are verified against the least
-document of it; only where that leaves several components do all pairs across components
-follow.  So a group of near copies costs as many checks as it has members, and no link between components is lost.
+document of it; only where that leaves several components are the others compared with each other, in blocks of bounded size
+that give back only links which join components.  So a group of near copies costs about as many checks as it has members, no pairs
+within it become rows, and no link between components is lost.
 Verification compares whole sets of 64-bit shingle hashes.
 
 No words, null text: an empty set, linked with nothing.  Repeated rows: one class.  Rows
@@ -36,6 +37,8 @@ from .components import components
 BAND = 1.5
 #: Document ids that may be broadcast (8 bytes each); beyond it the text is shuffled.
 BROADCAST_IDS = 2_000_000
+#: Documents of one leader that a task compares at a time with as many others.
+STAR = 400
 _U = np.uint64
 
 
@@ -165,6 +168,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
+def _labelled(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """``shared`` with the component ``c`` of each document, its own id if it has no link yet."""
+    return shared.join(label.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "doc", "lead", F.coalesce("component", "doc").alias("c"))
+
+
+def _across(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents of one leader that join components: enough of them, not all.
+
+    A leader's documents are dealt into blocks of about STAR; a task compares one block with another (or itself) by products of
+    0/1 matrices and gives back at most a forest. So no pair becomes a row, and no task holds more than two blocks.
+    """
+    size = star.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("n"))
+    dealt = star.join(size, "lead").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("lead", "doc", "c", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, "doc")
+
+    def compare(t: pa.Table) -> pa.Table:
+        doc, c = t.column("doc").to_numpy(), t.column("c").to_numpy()
+        hs = t.column("hs").combine_chunks()
+        n = pc.list_value_length(hs).to_numpy()
+        _, at, times = np.unique(hs.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(doc)), n)
+        both = times[at] > 1
+        at, of = at[both], of[both]
+        column = (np.cumsum(times > 1) - 1)[at]
+        same = np.zeros((len(doc), len(doc)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, of = column[order], of[order]
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            lo, hi = np.searchsorted(column, (start, start + 4096))
+            x = np.zeros((len(doc), 4096), np.float32)
+            x[of[lo:hi], column[lo:hi] - start] = 1
+            same += x @ x.T
+        alike = (100 * same >= percent * (n[:, None] + n[None, :] - same)) & (c[:, None] != c[None, :])
+        a, b = np.nonzero(np.triu(alike, 1))
+        _, first = np.unique(np.stack([c[a], c[b]]), axis=1, return_index=True)  # one link for two components
+        return pa.table({"a": pa.array(doc[a[first]]), "b": pa.array(doc[b[first]])})
+
+    return dealt.groupBy("lead", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -185,18 +229,19 @@ def groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     pairs = votes.groupBy("doc").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead")).select(F.col("lead").alias("a"), F.col("doc").alias("b"))
     links = stored(_verified(pairs, sets, percent), "jaccard-links")
     label = components(links)
-    for all_pairs in (False, True):
-        # Blocks whose documents are still in several components: against the leader, and at last each across components.
-        c = shared.join(label.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-        c = c.withColumn("c0", F.min("c").over(by_key)).withColumn("c1", F.max("c").over(by_key)).where("c0 != c1")
-        lead = c.select("key", F.col("doc").alias("a"), F.col("c").alias("ca"))
-        if not all_pairs:
-            lead = lead.join(c.select("key", F.col("lead").alias("a")).distinct(), ["key", "a"], "left_semi")
-        pairs = c.join(lead, "key").where("c != ca" if not all_pairs else "ca < c").select("a", F.col("doc").alias("b")).distinct()
-        more = stored(_verified(pairs, sets, percent), "jaccard-links")
-        if more.limit(1).count():
-            links = links.union(more)
-            label = components(links)
+    # Blocks whose documents are still in several components: each of these against the leader.
+    c = _labelled(shared, label).withColumn("lead_c", F.max(F.when(F.col("doc") == F.col("lead"), F.col("c"))).over(by_key))
+    more = stored(_verified(c.where("c != lead_c").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), sets, percent), "jaccard-links")
+    if more.limit(1).count():
+        links = links.union(more)
+        label = components(links)
+    # What is left are documents of one block, neither of them the leader, in several components.
+    c, rest = _labelled(shared, label), F.when(F.col("doc") != F.col("lead"), F.col("c"))
+    c = c.withColumn("c0", F.min(rest).over(by_key)).withColumn("c1", F.max(rest).over(by_key)).where("c0 != c1 and doc != lead")
+    star = stored(c.select("lead", "doc", "c").distinct(), "jaccard-stars")
+    if star.limit(1).count():
+        links = links.union(stored(_across(star, sets, percent), "jaccard-links"))
+        label = components(links)
     named = classes.join(label, F.col("rep") == F.col("id"), "left").select("n_shingles", "hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     linked = rows.where(full).join(named, ["n_shingles", "hi", "lo"]).select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where(~full | full.isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
