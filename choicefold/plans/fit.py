@@ -168,6 +168,8 @@ class Retirement:
         if not self.on or not master.n_active_cuts:
             return []
         read = master.cut_readings()
+        # A cut that is not installed now is forgotten: should it come back, it starts anew.
+        self.log = [{k: v for k, v in past.items() if k in read.dual} for past in self.log]
         self.log.append({k: (read.dual[k], read.slack[k]) for k in read.dual})
         rows, now = [], self.log[-1]
         deep = self.log if "dual" in self.policy.needs else self.log[-1:]
