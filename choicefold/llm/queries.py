@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, mixing, packing, pii, quality_classifier, quality_rules, token_counts, token_orc, url_filter
+from . import ann, jaccard, mixing, packing, pii, quality_classifier, quality_rules, sql, token_counts, token_orc, url_filter
 from .common import table_path
 from .tokens import vocabulary
 
@@ -83,4 +83,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_pareto_mix": sql.MIX, "op5_parity_join": sql.JACCARD, "op7_rule_cascade": sql.RULES}
