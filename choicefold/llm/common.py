@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -67,6 +68,15 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= most else df
 
 
+def give_back() -> None:
+    """Free memory of this worker goes back to the machine: workers are kept and used again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Each batch in runs of rows with about ``most`` bytes of text (one row at least)."""
     for batch in batches:
@@ -77,6 +87,7 @@ def runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000)
             upto = max(start + 1, upto)
             yield batch.slice(start, upto - start)
             start = upto
+        give_back()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

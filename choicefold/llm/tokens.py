@@ -18,11 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker keeps, about 200 bytes each; beyond it the dictionary starts anew (a bound of memory, not of work).
-CACHE_WORDS = 800_000
+#: Words that a worker keeps, about 200 bytes each; beyond it only those in use stay (a bound of memory, not of work).
+CACHE_WORDS = 600_000
 #: Two characters of white space in a row, or one at an end, by any definition.
 _WHITE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
-_ODD = f"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$|\\x00"
+_SPECIAL = "\\x00|<\\|"
+_ODD = f"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$|{_SPECIAL}"
+#: A letter and the ASCII punctuation after it (but an apostrophe, which may begin a contraction) are never in one piece.
+_BREAK = r"(\pL)([!-&(-/:-@\[-`{-~])"
 _CUT = re.compile(r"(?<=\S)(?=[ \n\t\r])")
 #: New words that the library gets as one text.
 _RUN = 500
@@ -80,7 +83,11 @@ class WordEncoder:
     def locate(self, keys: list[str]) -> np.ndarray:
         """Places of keys in the dictionary."""
         if len(self.at) + len(keys) > CACHE_WORDS:
+            # What this batch uses stays, and with it the words that are common.
+            kept = [k for k in dict.fromkeys(keys) if k and k in self.at]
+            ids, ends = self.gather(np.fromiter(map(self.at.__getitem__, kept), np.int64, len(kept)))
             self._clear()
+            self._add(kept, ids, np.diff(ends, prepend=0))
         at = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
         if len(miss := np.flatnonzero(at < 0)):
             lost = [keys[i] for i in miss.tolist()]
@@ -97,16 +104,13 @@ class WordEncoder:
     def index(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of all pieces, one text after the other, and how many pieces each text has."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, _ODD if self.keep_space else "\\x00")
+        odd = pc.match_substring_regex(texts, _ODD if self.keep_space else _SPECIAL)
         plain = pc.if_else(odd, "", texts)
-        # A letter and the full stop or comma after it are never in one piece.
-        plain = pc.replace_substring_regex(plain, r"(\pL)([.,])", "\\1 \0\\2" if self.keep_space else r"\1 \2")
+        plain = pc.replace_substring_regex(plain, _BREAK, "\\1 \0\\2" if self.keep_space else r"\1 \2")
         if self.keep_space:
             plain = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), plain, pa.scalar("", pa.large_string())), "\n", " \n")
         else:
-            plain = pc.replace_substring(plain, "\n", " ")
-            if not pc.any(pc.match_substring(plain, "<|")).as_py():
-                plain = pc.ascii_lower(plain)
+            plain = pc.ascii_lower(pc.replace_substring(plain, "\n", " "))
         lists = pc.split_pattern(plain, " ")
         coded = lists.flatten().dictionary_encode()
         words, per = coded.dictionary.to_pylist(), pc.list_value_length(lists).to_numpy()
@@ -129,7 +133,9 @@ class WordEncoder:
         """Ids of the words at these places, one after the other, and where each one's end."""
         lens = self.lens[at]
         ends = np.cumsum(lens)
-        return self.pool[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(int(lens.sum()))], ends
+        take = np.repeat((self.starts[at] - (ends - lens)).astype(np.int32), lens)
+        take += np.arange(len(take), dtype=np.int32)
+        return self.pool[take], ends
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text after the other, and each text's number of ids."""
