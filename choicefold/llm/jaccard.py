@@ -107,8 +107,10 @@ class Bands:
 
 
 def block_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of the indexed blocks of a set in all its bands."""
-    out = []
+    """Keys of the indexed blocks of a set in all its bands; none for an empty set."""
+    out: list[np.ndarray] = []
+    if not len(h):
+        return np.zeros(0, _U)
     with np.errstate(over="ignore"):
         bits = _mix(h, 0x2545F4914F6CDD1D)
         for band, d in bands.joined(len(h)):
