@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, on_disk: bool = False) -> DataFrame:
+    """``df`` kept by the executors, so that it is made once; what a lost executor held is made again from the inputs.
+
+    For tables that several jobs read; unlike :func:`stored` it makes no files.  ``spark.catalog.clearCache()`` lets all of them go.
+    """
+    return df.persist(StorageLevel.DISK_ONLY if on_disk else StorageLevel.MEMORY_AND_DISK)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table of ours that no returned result reads."""
     jvm = spark.sparkContext._jvm
@@ -48,11 +56,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def path_of(df: DataFrame) -> str:
-    """The folder of a table made by :func:`stored`."""
-    return os.path.dirname(df.inputFiles()[0]) if df.inputFiles() else ""
-
-
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, runs, stored
+from .common import kept, maybe_broadcast, runs, stored
 from .components import components
 
 #: Ratio of a size band.
@@ -214,18 +214,18 @@ def _across(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(_classes(docs, n), "jaccard-rows")
+    rows = kept(_classes(docs, n))
     full = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    classes = stored(rows.where(full).groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    classes = kept(rows.where(full).groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("rep")))
     # Documents that stand for a class: all but the others, which are the fewer.
-    other = stored(rows.where(full).join(classes, ["n_shingles", "hi", "lo"]).where(F.col("doc_id") != F.col("rep")).select("doc_id"), "jaccard-other")
+    other = kept(rows.where(full).join(classes, ["n_shingles", "hi", "lo"]).where(F.col("doc_id") != F.col("rep")).select("doc_id"))
     reps = docs.where(F.col("doc_id").isNotNull()).join(maybe_broadcast(other, other.count(), BROADCAST_IDS), "doc_id", "left_anti")
     by_key = W.partitionBy("key")
     shared = _keys(reps, n, percent).withColumn("m", F.count(F.lit(1)).over(by_key)).withColumn("lead", F.min("doc").over(by_key)).where(F.col("m") > 1)
-    shared = stored(shared.select("key", "doc", "lead"), "jaccard-shared")
-    ids = stored(shared.select(F.col("doc").alias("doc_id")).distinct(), "jaccard-ids")
+    shared = stored(shared.select("key", "doc", "lead"), "jaccard-shared")  # a table, so that the shuffle of all keys can go
+    ids = kept(shared.select(F.col("doc").alias("doc_id")).distinct())
     some = docs.join(maybe_broadcast(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    sets = stored(_sets(some, n), "jaccard-sets")
+    sets = kept(_sets(some, n))
     # First each document against the one that leads most of its blocks.
     votes = shared.where("lead != doc").groupBy("doc", "lead").count()
     pairs = votes.groupBy("doc").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead")).select(F.col("lead").alias("a"), F.col("doc").alias("b"))
@@ -240,7 +240,7 @@ def groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # What is left are documents of one block, neither of them the leader, in several components.
     c, rest = _labelled(shared, label), F.when(F.col("doc") != F.col("lead"), F.col("c"))
     c = c.withColumn("c0", F.min(rest).over(by_key)).withColumn("c1", F.max(rest).over(by_key)).where("c0 != c1 and doc != lead")
-    star = stored(c.select("lead", "doc", "c").distinct(), "jaccard-stars")
+    star = kept(c.select("lead", "doc", "c").distinct())
     if star.limit(1).count():
         links = links.union(stored(_across(star, sets, percent), "jaccard-links"))
         label = components(links)
@@ -252,5 +252,5 @@ def groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each group; rows without words or id stay."""
     g = groups(docs, n, percent)
-    gone = stored(g.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
+    gone = kept(g.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(maybe_broadcast(gone, gone.count(), BROADCAST_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, maybe_broadcast, stored
+from .common import WORD, kept, maybe_broadcast
 
 CAP = 3
 CYCLE = 3
@@ -79,13 +79,13 @@ def mix(docs: DataFrame, odds: Column | None = None, seed: str = SEED) -> DataFr
     Columns of ``docs`` with one of these four names are replaced.
     """
     mine = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    kept = [c for c in docs.columns if c not in mine]
-    d = docs.select(*kept, F.col("doc_id").alias("_mx_id"), F.col("source").isNull().alias("_mx_sn"), F.coalesce(F.col("source"), F.lit("")).alias("_mx_s"))
+    cols = [c for c in docs.columns if c not in mine]
+    d = docs.select(*cols, F.col("doc_id").alias("_mx_id"), F.col("source").isNull().alias("_mx_sn"), F.coalesce(F.col("source"), F.lit("")).alias("_mx_s"))
     d = d.withColumn("_mx_size", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long"))
     d = d.withColumn("_mx_o", (odds if odds is not None else F.lit(1.0)).cast("double"))
     narrow = d.select(F.col("_mx_sn").alias("s_null"), F.col("_mx_s").alias("s"), F.col("_mx_id").alias("id"), F.col("_mx_size").alias("size"), F.col("_mx_o").alias("o"))
-    sizes = stored(narrow, "mix-sizes")
-    goal = stored(targets(sizes), "mix-targets")
+    sizes = kept(narrow)
+    goal = kept(targets(sizes))
     n_sources = goal.count()
     goal = goal.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     goal = goal.withColumn("whole", F.least(F.floor("ratio"), F.lit(CAP)).cast("long"))
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, odds: Column | None = None, seed: str = SEED) -> DataFr
     run = W.partitionBy("s_null", "s").orderBy("b")
     sums = sums.withColumn("upto", F.sum("n").over(run)).withColumn("before", F.col("upto") - F.col("n"))
     edge = sums.where((F.col("before") <= F.col("need")) & (F.col("need") < F.col("upto"))).select("s_null", "s", "b", "before")
-    edge = stored(edge, "mix-edge")
+    edge = kept(edge)
     inside = ranked.join(maybe_broadcast(edge, n_sources), ["s_null", "s", "b"]).groupBy("s_null", "s", "r", "id").agg(F.sum("size").alias("n"), F.first("before").alias("before"), F.first("need").alias("need"))
     upto = F.col("before") + F.sum("n").over(W.partitionBy("s_null", "s").orderBy("r", F.col("id").asc_nulls_first()))
     inside = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("need"))
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, odds: Column | None = None, seed: str = SEED) -> DataFr
     # Documents below the edge bucket are taken, those of it up to the last one; a source without an edge takes all it needs.
     cut = goal.join(edge.withColumnRenamed("b", "edge"), ["s_null", "s"], "left").join(last, ["s_null", "s"], "left")
     cut = cut.withColumn("gap", F.when(F.col("edge").isNull(), 0.0).otherwise(F.col("need") - F.coalesce("used", "before")))
-    cut = stored(cut.select(*[F.col(c).alias(f"_mx_{'sn' if c == 's_null' else c}") for c in ("s_null", "s", "source_size", "target", "whole", "need", "p", "edge", "last", "gap")]), "mix-cut")
+    cut = kept(cut.select(*[F.col(c).alias(f"_mx_{'sn' if c == 's_null' else c}") for c in ("s_null", "s", "source_size", "target", "whole", "need", "p", "edge", "last", "gap")]))
     # What is then missing is less than the next document: of the next FILL in rank order, those that still fit are added.
     rest = ranked.join(maybe_broadcast(cut, n_sources), (F.col("s_null") == F.col("_mx_sn")) & (F.col("s") == F.col("_mx_s")))
     rest = rest.where((F.col("_mx_gap") > 0) & (F.col("size") > 0) & ~_taken(F.col("b"), _key("r", "id"))).select("_mx_sn", "_mx_s", "_mx_gap", _key("r", "id").alias("k"), "size")
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, odds: Column | None = None, seed: str = SEED) -> DataFr
     extra = _taken(F.floor(F.col("_mx_r") * BUCKETS), me) | F.coalesce(F.array_contains("_mx_fill", me), F.lit(False))
     copies = F.col("_mx_whole") + F.when(F.col("_mx_size") == 0, F.lit(0)).otherwise(extra.cast("int"))
     made = (F.col("_mx_size"), F.col("_mx_source_size"), F.col("_mx_target"), F.least(copies, F.lit(CAP)).cast("long"))
-    return d.select(*kept, *[c.alias(n) for c, n in zip(made, mine, strict=True)])
+    return d.select(*cols, *[c.alias(n) for c, n in zip(made, mine, strict=True)])
 
 
 def taken(docs: DataFrame) -> DataFrame:

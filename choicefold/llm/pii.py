@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import kept
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 # The contract's patterns, made linear: a match can begin only where a run of its first characters
@@ -84,8 +84,8 @@ def _valid(kind: str, m: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` with ``pii_base`` (kind, s, e) and ``pii_cands`` (kind, s, e, votes, features) of every whole text."""
-    kept = [c for c in docs.columns if not c.startswith("pii_")]
-    d = docs.select(*kept).withColumn("pii_text", F.coalesce("text", F.lit("")))
+    cols = [c for c in docs.columns if not c.startswith("pii_")]
+    d = docs.select(*cols).withColumn("pii_text", F.coalesce("text", F.lit("")))
     every = {**{f"b_{k}": (k, r) for k, r in BASE.items()}, **{f"c_{k}": (f"c_{k}", r) for k, r in CANDIDATE.items()}}
     for name, (k, regex) in every.items():
         m, p = _places("pii_text", k, regex)
@@ -117,7 +117,7 @@ def find(docs: DataFrame) -> DataFrame:
 
         return F.transform(apart, judged)
 
-    return d.withColumn("pii_cands", F.concat(*[candidate(k) for k in CANDIDATE])).select(*kept, "pii_base", "pii_cands")
+    return d.withColumn("pii_cands", F.concat(*[candidate(k) for k in CANDIDATE])).select(*cols, "pii_base", "pii_cands")
 
 
 @dataclass(frozen=True)
@@ -169,7 +169,7 @@ def fit(found: DataFrame, rounds: int = 50) -> SpanModel:
 def detect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` (without the text, if not asked for) with ``pii_base`` and ``pii_spans`` (base and added), each an array of kind, s, e in order of kind, then s."""
     found = find(docs)
-    found = stored(found if keep_text else found.drop("text"), "pii")
+    found = kept(found, on_disk=True) if keep_text else kept(found.drop("text"))
     model = fit(found)
     added = F.transform(F.filter("pii_cands", model.accepts), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
     return found.withColumn("pii_spans", F.array_sort(F.concat("pii_base", added))).withColumn("pii_base", F.array_sort("pii_base")).drop("pii_cands")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import kept, slices
 
 TRAIN_ROWS = 200_000
 FEATURES = 256
@@ -116,7 +116,7 @@ def fit(labelled: DataFrame) -> Model | None:
     if total[0] > TRAIN_ROWS:
         chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < int((1 << 20) * TRAIN_ROWS / total[0]))
     # Bounded by TRAIN_ROWS, so are the partitions and with them the sums that reach the driver.
-    chosen = stored(chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int")).coalesce(24), "quality-train")
+    chosen = kept(chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int")).coalesce(24))
     k = len(NAMES)
     moments = chosen.agg(*[F.avg(F.get("x", i)) for i in range(k)], *[F.stddev_pop(F.get("x", i)) for i in range(k)]).first()
     mean, scale = np.array(moments[:k]), np.array([s if s > 1e-9 else 1.0 for s in moments[k:]])
@@ -168,7 +168,7 @@ def _learn(x: DataFrame, labels: DataFrame) -> Model | None:
 
 def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | None]:
     """doc_id, score, predicted for every row of ``docs``; ``labels`` (doc_id, y) are the rows to learn from."""
-    x = stored(measured(docs), "quality-statistics")
+    x = kept(measured(docs))
     model = _learn(x, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | Non
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects (score below 0.5); every column and row else stays."""
     # Statistics are taken a second time for the verdict: that is cheaper than to shuffle texts to their scores.
-    model = _learn(stored(measured(docs), "quality-statistics"), labels)
+    model = _learn(kept(measured(docs)), labels)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
@@ -190,5 +190,5 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             return pd.Series(np.full(len(text), 0.5))
         return pd.Series(model.score(np.array([statistics(t or "") for t in text], float)))
 
-    kept = docs.withColumn("_quality", score(F.col("text"))).where("_quality >= 0.5")
-    return kept.select(*docs.columns)
+    good = docs.withColumn("_quality", score(F.col("text"))).where("_quality >= 0.5")
+    return good.select(*docs.columns)
