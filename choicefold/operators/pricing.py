@@ -303,3 +303,19 @@ def reduced_cost(priced: DataFrame, u: DataFrame | None) -> DataFrame:
 def violation(cuts: DataFrame, theta: Column, u: Column, size: int) -> Column:
     """``phi.theta + epsilon - u`` of candidate cuts."""
     return total([item("phi", k) * item(theta, k) for k in range(size)]) + F.col("epsilon") - u
+
+
+def disagreement(a: DataFrame, b: DataFrame, size: int, tolerance: float = Oracle.TOLERANCE) -> DataFrame:
+    """Agents whose rows (agent_id, phi, epsilon) differ: other signs of phi, or values further apart than tolerance, or only one row."""
+    x, y = a.select("agent_id", F.col("phi").alias("p"), F.col("epsilon").alias("e")), b.select("agent_id", F.col("phi").alias("q"), F.col("epsilon").alias("f"))
+    apart = F.abs(F.col("e") - F.col("f")) > tolerance
+    for k in range(size):
+        apart = apart | (F.signum(item("p", k)) != F.signum(item("q", k))) | (F.abs(item("p", k) - item("q", k)) > tolerance)
+    both = x.join(y, "agent_id", "full_outer")
+    return both.where(F.coalesce(apart, F.lit(True))).select("agent_id")
+
+
+def missing_answers(asked: DataFrame, answered: DataFrame) -> DataFrame:
+    """agent_id of agents that were asked but not answered for, or the other way round."""
+    a, b = asked.select("agent_id"), answered.select("agent_id")
+    return a.exceptAll(b).union(b.exceptAll(a))

@@ -30,3 +30,13 @@ def greatest_violation(value: Column) -> Column:
 def batched_max(df: DataFrame, value: str, by: str = "rep_id") -> DataFrame:
     """:func:`greatest_violation` of every group in one pass."""
     return df.groupBy(by).agg(greatest_violation(F.col(value)).alias("worst"))
+
+
+def canonical_vector_sum(df: DataFrame, vector: str, key: str, size: int) -> DataFrame:
+    """``total``: sum of one vector per key (such as a partition's partial sum) in ascending key order. Meant for few rows: a row per partition or rank."""
+    rows = df.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v")))).alias("rows"))
+
+    def folded(k: int) -> Column:
+        return F.aggregate("rows", F.lit(0.0), lambda a, r: a + F.get(r["v"], k))
+
+    return rows.select(F.array(*[folded(k) for k in range(size)]).alias("total"))

@@ -323,6 +323,48 @@ def union_of_votes(spark, d):
     return cx.Compose((), (Above("violation", 30000), Above("epsilon", 45))).retire(_cuts(spark, d))
 
 
+@query(f"with {CUTS} select agent_id, bundle_key, pos from cuts where (agent_id, bundle_key) not in (select agent_id, bundle_key from cuts where violation < 0)")
+def remove_cuts(spark, d):
+    c = _cuts(spark, d)
+    return cx.removed(c, c.where("violation < 0")).select("agent_id", "bundle_key", "pos")
+
+
+@query(f"with {CUTS} select supp%4 rep_id, count(*)::bigint n, min(pos) first from cuts group by 1")
+def exchange_cuts(spark, d):
+    """Every replication's cuts land together: one partition holds all of it."""
+    c = cx.exchanged(_cuts(spark, d).withColumn("rep_id", F.col("supp") % 4), 4).withColumn("p", F.spark_partition_id())
+    g = c.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.count_distinct("p").alias("parts"))
+    return g.where("parts = 1").select("rep_id", "n", "first")
+
+
+@query("select unnest([0,1])::int pos, unnest([sum(l_linenumber), sum(floor(l_quantity))])::double total from lineitem")
+def vector_sum(spark, d):
+    parts = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 16).alias("rank")).agg(F.array(F.sum("l_linenumber").cast("double"), F.sum(F.floor("l_quantity")).cast("double")).alias("v"))
+    return reduce.canonical_vector_sum(parts, "v", "rank", 2).select(F.posexplode("total").alias("pos", "total"))
+
+
+@query("select c_custkey agent_id from customer where c_custkey % 7 = 0 or c_custkey % 10 = 3")
+def feature_disagreement(spark, d):
+    p = _priced(spark, d)
+    other = p.where("agent_id % 10 <> 3").withColumn("epsilon", F.col("epsilon") + F.when(F.col("agent_id") % 7 == 0, 1e-6).otherwise(1e-15))
+    return pricing.disagreement(p, other, 5)
+
+
+@query("select c_custkey agent_id from customer where c_custkey % 9 = 0")
+def missing_answers(spark, d):
+    p = _priced(spark, d)
+    return pricing.missing_answers(p, p.where("agent_id % 9 <> 0"))
+
+
+@query("select c_custkey iteration, case when c_custkey < 20 then 1.0 when c_custkey < 50 then 5.0 else 60.0 end time_limit, case when c_custkey = 0 then 1 else 0 end focus, case when c_custkey < 20 then 20 when c_custkey < 50 then 0 else -1 end floor from customer")
+def phase_lookup(spark, d):
+    from .plans.callbacks import Phase, TimeoutSchedule
+
+    s = TimeoutSchedule([Phase(1.0, 20), Phase(5.0, 30, retire=True), Phase(60.0)])
+    rows = [(i, v.time_limit_seconds, v.mip_focus, -1 if f is None else f) for i in range(_n(spark, d)) for v, f in [s.at(i, None)]]
+    return spark.createDataFrame(rows, "iteration bigint, time_limit double, focus int, floor int")
+
+
 # -- duals, schedules ------------------------------------------------------------------------------------------------------
 
 
@@ -485,7 +527,7 @@ v as (select p.k, p.t, sum(greatest(r*p.t+nu,0) - r*b*p.t) v from p join items i
 
 def modular_fit(spark: SparkSession, d: str, formulation: str, **controls) -> fit.FitResult:
     obs = _obs(spark, d)
-    return fit.estimate(fit.Model(pricing.Modular(5), BOX, formulation), fit.Data(obs), tolerance=1e-7, publish=0, **controls)
+    return fit.estimate(fit.Model(pricing.Modular(5), BOX, formulation, 64), fit.Data(obs), tolerance=1e-7, publish=0, **controls)
 
 
 @query(_CLOSED + " select round(sum(m),6) objective, (select count(*) from customer)::bigint n_agents, true converged from (select k, min(v) m from v group by k)")

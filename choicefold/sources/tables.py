@@ -58,3 +58,13 @@ def items(customers: DataFrame) -> DataFrame:
     true = (0.25, -0.125, 0.1875, -0.25, 0.0625)
     choice = [F.when(r[k] * true[k] + other[k] > 0, 1.0).otherwise(0.0) for k in range(5)]
     return customers.select(a.alias("key"), F.array(*r).alias("r"), F.array(*nu).alias("nu"), F.array(*choice).alias("choice"))
+
+
+def shared_arrays(spark: SparkSession, most_bytes: int = 256 << 20, **arrays):
+    """One read-only copy of NumPy arrays on every executor, for user oracles; larger ones belong into a table."""
+    size = sum(np.asarray(a).nbytes for a in arrays.values())
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes are more than {most_bytes}: join a table instead")
+    for a in arrays.values():
+        a.flags.writeable = False
+    return spark.sparkContext.broadcast(arrays)

@@ -154,6 +154,30 @@ def test_refit_stream(spark, tmp_path):
     assert found == [True]
 
 
+def test_events(spark, capsys):
+    import io
+
+    from choicefold.plans.events import EventLog, ProgressTable
+    from choicefold.plans.fit import LoopConfig, tell
+
+    log, out = EventLog(), io.StringIO()
+    for sink in (log, ProgressTable(out=out)):
+        c = LoopConfig(on_event=sink)
+        tell(c, {"event": "start", "K": 2})
+        tell(c, {"event": "iteration", "iteration": 0, "gap": 1.0, "n_cuts": 3, "objective": 2.0})
+    assert [r["event"] for r in log.table(spark).collect()] == ["start", "iteration"] and len(out.getvalue().splitlines()) == 2
+    tell(LoopConfig(on_event=lambda e: 1 / 0), {"event": "start"})  # a failing sink fails nothing
+
+
+def test_shared_arrays(spark):
+    from choicefold.sources.tables import shared_arrays
+
+    b = shared_arrays(spark, q=np.eye(3))
+    assert b.value["q"].sum() == 3
+    with pytest.raises(ValueError):
+        shared_arrays(spark, most_bytes=8, q=np.eye(3))
+
+
 def test_entry():
     import __spark_entry__ as e
 
