@@ -164,8 +164,15 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("hs").alias("y")), "b")
+    """Those pairs (a, b) whose sets are similar enough. Only sets of documents that a side names are shuffled to it."""
+    pairs = kept(pairs)
+
+    def side(end: str, name: str) -> DataFrame:
+        named = pairs.select(F.col(end).alias("doc")).distinct()
+        some = sets.join(maybe_broadcast(named, named.count(), BROADCAST_IDS), "doc", "left_semi")
+        return some.select(F.col("doc").alias(end), F.col("hs").alias(name))
+
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
 
