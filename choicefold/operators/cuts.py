@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import positioned
+
 SCHEMA = "rep_id int, agent_id bigint, bundle_key binary, phi array<double>, epsilon double"
 KEY = ("agent_id", "bundle_key")
 #: Fixed value: a dual of at most this size counts as zero.
@@ -23,6 +25,12 @@ def canonical_order(cuts: DataFrame) -> DataFrame:
     return cuts.orderBy("rep_id", "agent_id", "bundle_key", "pos") if "pos" in cuts.columns else cuts.orderBy("rep_id", "agent_id", "bundle_key")
 
 
+def canonical_positions(cuts: DataFrame) -> DataFrame:
+    """Adds ``n``, 1..N in :func:`canonical_order`, over all cuts: range partitions with offsets, so no task sorts the whole log."""
+    placed = positioned(cuts, [F.col(c) for c in ("rep_id", "agent_id", "bundle_key", "pos")], "n")
+    return placed.withColumn("n", F.col("n") + 1)
+
+
 def deduplicated(cuts: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     """The first row of each key: one aggregate with a partial one before its shuffle, no sort."""
     rest = [c for c in cuts.columns if c not in by and c != "pos"]

@@ -251,6 +251,12 @@ def canonical_cut_order(spark, d):
     return c.select(F.row_number().over(W.orderBy("rep_id", "agent_id", "bundle_key", "pos")).cast("long").alias("n"), "pos")
 
 
+@query(f"with {CUTS} select row_number() over (order by supp%3, agent_id, bundle_key, pos) n, pos from cuts")
+def canonical_cut_order_whole(spark, d):
+    """The order of the whole log; ``canonical_cut_order`` orders the cuts of agents below 500, as its SQL does."""
+    return cx.canonical_positions(_cuts(spark, d).withColumn("rep_id", F.col("supp") % 3)).select("n", "pos")
+
+
 @query(f"with {CUTS} select agent_id, bundle_key, pos from cuts where (agent_id, bundle_key) not in (select agent_id, bundle_key from cuts where epsilon > 25)")
 def fresh_cuts(spark, d):
     c = _cuts(spark, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: Column) -> DataFrame:
-    """Adds ``obs_id`` 0..N-1 in the order of a distinct integer key.
+    """Adds ``obs_id`` 0..N-1 in the order of a distinct integer key; see :func:`positioned`."""
+    return positioned(df, [key.cast("long")], "obs_id")
+
+
+def positioned(df: DataFrame, keys: Sequence[Column], name: str) -> DataFrame:
+    """Adds ``name``, 0..N-1 in the order of keys that are distinct together.
 
-    Rows are range-partitioned by the key and counted by partition; offsets are a running sum over partitions, so no task sees all rows.
+    Rows are range-partitioned by the keys and counted by partition; offsets are a running sum over partitions, so no task sees all rows.
     """
     from pyspark.sql import Window as W
 
-    placed = df.withColumn("_key", key.cast("long")).repartitionByRange("_key").withColumn("_p", F.spark_partition_id()).persist()
+    cols = [f"_key{i}" for i in range(len(keys))]
+    placed = df.select("*", *[k.alias(c) for k, c in zip(keys, cols, strict=True)]).repartitionByRange(*cols).withColumn("_p", F.spark_partition_id()).persist()
     counts = placed.groupBy("_p").count()
     starts = counts.select("_p", (F.sum("count").over(W.orderBy("_p")) - F.col("count")).alias("_start"))
-    within = F.row_number().over(W.partitionBy("_p").orderBy("_key"))
-    return placed.withColumn("_i", within).join(F.broadcast(starts), "_p").withColumn("obs_id", F.col("_start") + F.col("_i") - 1).drop("_p", "_i", "_start", "_key")
+    within = F.row_number().over(W.partitionBy("_p").orderBy(*cols))
+    return placed.withColumn("_i", within).join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_i") - 1).drop("_p", "_i", "_start", *cols)
 
 
 def from_arrays(spark: SparkSession, choice, shocks=None, **covariates) -> tuple[DataFrame, DataFrame | None]:
