@@ -463,6 +463,13 @@ def reciprocal_edges(spark, d):
     return e.join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
 
 
+@query("with e as (select distinct l_orderkey a, l_partkey b from lineitem) select e1.a, e1.b from e e1 join e e2 on e1.a=e2.b and e1.b=e2.a")
+def reciprocal_edges_whole(spark, d):
+    """The real edges of the table; ``reciprocal_edges`` folds both ends by 200, as its SQL does."""
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    return e.join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
+
+
 # -- replications --------------------------------------------------------------------------------------------------------------
 
 def _boot(spark, d):

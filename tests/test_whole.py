@@ -16,3 +16,9 @@ def test_canonical_order_of_the_whole_log(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     whole = q.QUERIES["canonical_cut_order_whole"](spark, SF)
     assert whole.agg(F.max("n")).first()[0] == whole.count() == lines.count()
+
+
+def test_reciprocal_edges_of_the_real_ids(spark):
+    edges = {(r[0], r[1]) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()}
+    got = [(r["a"], r["b"]) for r in q.QUERIES["reciprocal_edges_whole"](spark, SF).collect()]
+    assert sorted(got) == sorted((a, b) for a, b in edges if (b, a) in edges) and 0 < len(got) < 100
