@@ -9,28 +9,31 @@ Sampling: a source whose target is r times its words takes floor(r) copies of ea
 document for certain.  The rest, a share p of its words, is sampled: document i gets a uniform
 number u (of its id, so reruns agree) and the rank [u/(1-u)] / [p/(1-p)], the ratio of random odds to
 inclusion odds; the least ranks are taken while they fit
-the target, and then those of the next FILL ranks that still fit.
+the target, and then each later one, in order of rank, that still fits, until none does.
 Inclusion odds may differ by document (``odds``, a positive factor on them); by default they
 differ by source only, so that each word of a source is as likely as any other.
 
 A source's cut-off is found from sums over rank buckets and then from the rows of one
-bucket, so no task holds a whole source.  Documents with one id are taken or
-left together.  Null text has size 0.  An empty table gives no rows.
+bucket, so no task holds a whole source.  What is then missing is filled in rounds: the next FILL
+documents that fit, one by one, then the cut-off again over the later ones that are no larger than what is still
+missing.  Documents with one id are taken or left together.  Null text has size 0.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, kept, maybe_broadcast
+from .common import WORD, kept, maybe_broadcast, stored
 
 CAP = 3
 CYCLE = 3
 #: Rank buckets of a source.
 BUCKETS = 4096
-#: Documents after the cut-off that may fill what is missing.
+#: Documents after a cut-off that a round looks at one by one; rounds go on until no document fits.
 FILL = 64
 SEED = "mix-1"
 
@@ -73,6 +76,57 @@ def _taken(bucket: Column, key: Column) -> Column:
     return F.when(F.col("_mx_edge").isNull(), F.col("_mx_need") > 0).otherwise((bucket < F.col("_mx_edge")) | at_edge)
 
 
+def _cut_off(ranked: DataFrame, goal: DataFrame, n_sources: int) -> DataFrame:
+    """``goal`` with the cut-off of each source: ``edge`` bucket, ``last`` key in it and the ``gap`` that is left of ``need``.
+
+    Documents below the edge bucket are taken, those of it up to the last one; a source without an edge takes all.
+    """
+    sums = ranked.groupBy("s_null", "s", "b").agg(F.sum("size").alias("n"), F.first("need").alias("need"))
+    run = W.partitionBy("s_null", "s").orderBy("b")
+    sums = sums.withColumn("upto", F.sum("n").over(run)).withColumn("before", F.col("upto") - F.col("n"))
+    edge = sums.where((F.col("before") <= F.col("need")) & (F.col("need") < F.col("upto"))).select("s_null", "s", "b", "before")
+    edge = kept(edge)
+    inside = ranked.join(maybe_broadcast(edge, n_sources), ["s_null", "s", "b"]).groupBy("s_null", "s", "r", "id").agg(F.sum("size").alias("n"), F.first("before").alias("before"), F.first("need").alias("need"))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("s_null", "s").orderBy("r", F.col("id").asc_nulls_first()))
+    inside = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("need"))
+    last = inside.groupBy("s_null", "s").agg(F.max(_key("r", "id")).alias("last"), F.max("upto").alias("used"))
+    cut = goal.join(edge.withColumnRenamed("b", "edge"), ["s_null", "s"], "left").join(last, ["s_null", "s"], "left")
+    cut = cut.withColumn("gap", F.when(F.col("edge").isNull(), 0.0).otherwise(F.col("need") - F.coalesce("used", "before")))
+    return cut.select(*[F.col(c).alias(f"_mx_{'sn' if c == 's_null' else c}") for c in cut.columns if c not in ("before", "used")])
+
+
+def _filled(ranked: DataFrame, cut: DataFrame, n_sources: int) -> DataFrame:
+    """Documents after the cut-off (``_mx_sn``, ``_mx_s``, ``_mx_k``) that fill its gap: in order of rank, each that still fits."""
+    me = _key("r", "id")
+    fill = F.expr("""aggregate(next, named_struct('gap', gap, 'a', cast(array() as array<struct<r:double,id:bigint>>)),
+        (acc, x) -> if(x.size <= acc.gap, named_struct('gap', acc.gap - x.size, 'a', array_append(acc.a, x.k)), acc))""")
+
+    def of(rows: DataFrame, per: DataFrame) -> DataFrame:
+        return rows.join(maybe_broadcast(per, n_sources), (F.col("s_null") == F.col("_mx_sn")) & (F.col("s") == F.col("_mx_s")))
+
+    rest = of(ranked, cut).where((F.col("_mx_gap") > 0) & (F.col("size") > 0) & ~_taken(F.col("b"), me))
+    rest = rest.groupBy("s_null", "s", "b", "r", "id").agg(F.sum("size").alias("size"), F.first("_mx_gap").alias("need")).where("size <= need")
+    found = []
+    while True:
+        # One by one: of the next FILL those that fit.
+        rest = kept(rest)
+        head = rest.select("s_null", "s", "need", me.alias("k"), "size").withColumn("nth", F.row_number().over(W.partitionBy("s_null", "s").orderBy("k"))).where(F.col("nth") <= FILL)
+        head = head.groupBy(F.col("s_null").alias("_mx_sn"), F.col("s").alias("_mx_s")).agg(F.first("need").alias("gap"), F.array_sort(F.collect_list(F.struct("k", "size"))).alias("next"), F.max("k").alias("_mx_seen"))
+        head = kept(head.select("_mx_sn", "_mx_s", "_mx_seen", fill.alias("_mx_fill")))
+        found.append(head.select("_mx_sn", "_mx_s", F.explode("_mx_fill.a").alias("_mx_k")))
+        pool = of(rest, head).where((me > F.col("_mx_seen")) & (F.col("size") <= F.col("_mx_fill.gap")))
+        # Written, not kept: a plan that refers to all rounds before would double with each.
+        pool = stored(pool.select("s_null", "s", "b", "r", "id", "size", F.col("_mx_fill.gap").alias("need")), "mix-pool")
+        if pool.isEmpty():
+            break
+        # Many at once: the cut-off over those that may fit.
+        part = kept(_cut_off(pool, pool.groupBy("s_null", "s").agg(F.first("need").alias("need")), n_sources))
+        placed = of(pool, part)
+        found.append(placed.where(_taken(F.col("b"), me)).select("_mx_sn", "_mx_s", me.alias("_mx_k")))
+        rest = placed.where(~_taken(F.col("b"), me) & (F.col("size") <= F.col("_mx_gap"))).select("s_null", "s", "b", "r", "id", "size", F.col("_mx_gap").alias("need"))
+    return reduce(DataFrame.unionAll, found).distinct()
+
+
 def mix(docs: DataFrame, odds: Column | None = None, seed: str = SEED) -> DataFrame:
     """All documents with every column of theirs, and mix_size, mix_source_size, mix_target, mix_copies.
 
@@ -98,31 +152,14 @@ def mix(docs: DataFrame, odds: Column | None = None, seed: str = SEED) -> DataFr
 
     ranked = sizes.join(maybe_broadcast(goal, n_sources), ["s_null", "s"]).withColumn("r", rank(uniform(F.col("id"), seed), F.col("p"), F.col("o")))
     ranked = ranked.withColumn("b", F.floor(F.col("r") * BUCKETS).cast("long")).select("s_null", "s", "id", "size", "r", "b", "need")
-    sums = ranked.groupBy("s_null", "s", "b").agg(F.sum("size").alias("n"), F.first("need").alias("need"))
-    run = W.partitionBy("s_null", "s").orderBy("b")
-    sums = sums.withColumn("upto", F.sum("n").over(run)).withColumn("before", F.col("upto") - F.col("n"))
-    edge = sums.where((F.col("before") <= F.col("need")) & (F.col("need") < F.col("upto"))).select("s_null", "s", "b", "before")
-    edge = kept(edge)
-    inside = ranked.join(maybe_broadcast(edge, n_sources), ["s_null", "s", "b"]).groupBy("s_null", "s", "r", "id").agg(F.sum("size").alias("n"), F.first("before").alias("before"), F.first("need").alias("need"))
-    upto = F.col("before") + F.sum("n").over(W.partitionBy("s_null", "s").orderBy("r", F.col("id").asc_nulls_first()))
-    inside = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("need"))
-    last = inside.groupBy("s_null", "s").agg(F.max(_key("r", "id")).alias("last"), F.max("upto").alias("used"))
-    # Documents below the edge bucket are taken, those of it up to the last one; a source without an edge takes all it needs.
-    cut = goal.join(edge.withColumnRenamed("b", "edge"), ["s_null", "s"], "left").join(last, ["s_null", "s"], "left")
-    cut = cut.withColumn("gap", F.when(F.col("edge").isNull(), 0.0).otherwise(F.col("need") - F.coalesce("used", "before")))
-    cut = kept(cut.select(*[F.col(c).alias(f"_mx_{'sn' if c == 's_null' else c}") for c in ("s_null", "s", "source_size", "target", "whole", "need", "p", "edge", "last", "gap")]))
-    # What is then missing is less than the next document: of the next FILL in rank order, those that still fit are added.
-    rest = ranked.join(maybe_broadcast(cut, n_sources), (F.col("s_null") == F.col("_mx_sn")) & (F.col("s") == F.col("_mx_s")))
-    rest = rest.where((F.col("_mx_gap") > 0) & (F.col("size") > 0) & ~_taken(F.col("b"), _key("r", "id"))).select("_mx_sn", "_mx_s", "_mx_gap", _key("r", "id").alias("k"), "size")
-    rest = rest.withColumn("nth", F.row_number().over(W.partitionBy("_mx_sn", "_mx_s").orderBy("k"))).where(F.col("nth") <= FILL)
-    rest = rest.groupBy("_mx_sn", "_mx_s").agg(F.first("_mx_gap").alias("gap"), F.array_sort(F.collect_list(F.struct("k", "size"))).alias("next"))
-    fill = F.expr("""aggregate(next, named_struct('gap', gap, 'a', cast(array() as array<struct<r:double,id:bigint>>)),
-        (acc, x) -> if(x.size <= acc.gap, named_struct('gap', acc.gap - x.size, 'a', array_append(acc.a, x.k)), acc), acc -> acc.a)""")
-    cut = cut.join(rest.select("_mx_sn", "_mx_s", fill.alias("_mx_fill")), ["_mx_sn", "_mx_s"], "left")
+    cut = kept(_cut_off(ranked, goal, n_sources))
+    filled = stored(_filled(ranked, cut, n_sources), "mix-filled")
+    n_filled = filled.count()
     d = d.join(maybe_broadcast(cut, n_sources), ["_mx_sn", "_mx_s"])
     d = d.withColumn("_mx_r", rank(uniform(F.col("_mx_id"), seed), F.col("_mx_p"), F.col("_mx_o")))
     me = _key("_mx_r", "_mx_id")
-    extra = _taken(F.floor(F.col("_mx_r") * BUCKETS), me) | F.coalesce(F.array_contains("_mx_fill", me), F.lit(False))
+    d = d.withColumn("_mx_k", me).join(maybe_broadcast(filled.withColumn("_mx_fill", F.lit(True)), n_filled), ["_mx_sn", "_mx_s", "_mx_k"], "left")
+    extra = _taken(F.floor(F.col("_mx_r") * BUCKETS), me) | F.col("_mx_fill").isNotNull()
     copies = F.col("_mx_whole") + F.when(F.col("_mx_size") == 0, F.lit(0)).otherwise(extra.cast("int"))
     made = (F.col("_mx_size"), F.col("_mx_source_size"), F.col("_mx_target"), F.least(copies, F.lit(CAP)).cast("long"))
     return d.select(*cols, *[c.alias(n) for c, n in zip(made, mine, strict=True)])

@@ -1,8 +1,11 @@
 """Queries and operators over whole tables: nothing filtered, folded or capped away."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from choicefold import queries as q
+from choicefold.llm import mixing
 from choicefold.operators import cuts
 
 from .conftest import SF
@@ -22,3 +25,25 @@ def test_reciprocal_edges_of_the_real_ids(spark):
     edges = {(r[0], r[1]) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()}
     got = [(r["a"], r["b"]) for r in q.QUERIES["reciprocal_edges_whole"](spark, SF).collect()]
     assert sorted(got) == sorted((a, b) for a, b in edges if (b, a) in edges) and 0 < len(got) < 100
+
+
+def test_mix_fills_past_a_very_long_document(spark):
+    """Whatever is left out is larger than what is missing, also when the cut-off falls on a text longer than all others."""
+    rng = random.Random(1)
+    rows = []
+    for s in range(12):
+        sizes = [max(1, int(rng.lognormvariate(4, 1))) for _ in range(400)] + [60_000]
+        rows += [(len(rows) + i, "a " * n, f"s{s:02}") for i, n in enumerate(sizes)]
+    rows += [(r[0], r[1], r[2]) for r in rng.sample(rows, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6)
+    by: dict = {}
+    for r in mixing.mix(docs).select("doc_id", "source", "mix_size", "mix_source_size", "mix_target", "mix_copies").collect():
+        by.setdefault(r["source"], []).append(r)
+    for got in by.values():
+        gap = got[0]["mix_target"] - sum(r["mix_size"] * r["mix_copies"] for r in got)
+        whole = int(got[0]["mix_target"] / got[0]["mix_source_size"])
+        left: dict = {}
+        for r in got:
+            if r["mix_copies"] == whole:
+                left[r["doc_id"]] = left.get(r["doc_id"], 0) + r["mix_size"]
+        assert gap > -1e-6 and (gap < 1e-6 or min(left.values()) > gap)
