@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from choicefold import queries as q
-from choicefold.llm import mixing
+from choicefold.llm import mixing, token_counts
+from choicefold.llm.tokens import encoder, vocabulary
 from choicefold.operators import cuts
 
 from .conftest import SF
@@ -47,3 +48,22 @@ def test_mix_fills_past_a_very_long_document(spark):
             if r["mix_copies"] == whole:
                 left[r["doc_id"]] = left.get(r["doc_id"], 0) + r["mix_size"]
         assert gap > -1e-6 and (gap < 1e-6 or min(left.values()) > gap)
+
+
+def test_counts_of_every_prefix(spark):
+    """Texts without spaces, with NUL, contractions, special strings and characters that combine."""
+    v = vocabulary("word_bpe_49k.json")
+    count = lambda t: len(encoder(v, False).tok.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(3)
+    texts = ["漢字仮名交じり文は、空白なしで続く。" * 5, "".join(rng.choice("ABCabcxyz0189+/=") for _ in range(300)), "a\0b internationalization \0 c d\0", "don't they'll we've x're!!'s 'r 're", "a!<|endoftext|>b<|startoftext|><|endof <|ENDOFTEXT|>", "e\u0301te\u0301 \u0130x \u03a3\u03a3 caf\u00e9s na\u00efve\u00a0x\x1cy\tz", "", "  ", "antidisestablishmentarianism"]
+    texts += ["".join(rng.choice("abtheIN'sre .,!1é漢<|> \n") for _ in range(40)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = token_counts.prefix_table(docs, v).select("*", token_counts.tokens_before(F.lit(7)).alias("n"), token_counts.cut_at(F.lit(9)).alias("cut")).collect()
+    assert len(rows) == len(texts)
+    within = {r["doc_id"]: r["budget_tokens"] for r in token_counts.prefix_counts(docs, v, 9).collect()}
+    for r in rows:
+        t = texts[r["doc_id"]]
+        want = [count(t[:i]) for i in range(len(t) + 1)]
+        assert (r["counts"], r["ends"]) == (want[1:], list(range(1, len(t) + 1))), t
+        cut = max(i for i, c in enumerate(want) if c <= 9)
+        assert r["n"] == want[min(7, len(t))] and r["cut"] == cut and within[r["doc_id"]] == want[cut]
