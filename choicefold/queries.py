@@ -243,6 +243,12 @@ def dedup_cuts(spark, d):
     return cx.deduplicated(c, ("a", "bundle_key")).select("agent_id", "bundle_key", "pos")
 
 
+@query(f"with {CUTS} select agent_id, bundle_key, min(pos) pos from cuts group by 1, 2")
+def dedup_cuts_whole(spark, d):
+    """One cut for each agent and key; ``dedup_cuts`` folds agents by 1000, as its SQL does."""
+    return cx.deduplicated(_cuts(spark, d).select("agent_id", "bundle_key", "pos"))
+
+
 @query(f"with {CUTS} select row_number() over (order by supp%3, agent_id, bundle_key, pos) n, pos from cuts where agent_id<500")
 def canonical_cut_order(spark, d):
     from pyspark.sql import Window as W

@@ -22,6 +22,11 @@ def test_canonical_order_of_the_whole_log(spark):
     assert whole.agg(F.max("n")).first()[0] == whole.count() == lines.count()
 
 
+def test_cuts_of_different_agents_are_no_copies(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
+    assert q.QUERIES["dedup_cuts_whole"](spark, SF).count() == lines.count()
+
+
 def test_reciprocal_edges_of_the_real_ids(spark):
     edges = {(r[0], r[1]) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()}
     got = [(r["a"], r["b"]) for r in q.QUERIES["reciprocal_edges_whole"](spark, SF).collect()]
