@@ -3,8 +3,8 @@
 A rule names a host and the beginning of a path; it holds for the host and all its subdomains, and the
 longest rule that holds decides.  URLs that a rule decides are the labelled ones; trees learn from
 their lexical form (length, depth, share of digits, entropy, parameter counts, statistics of the host's
-suffix) and decide the rest.  Statistics of suffixes are taken over all URLs, in a fixed number of hash buckets, so
-what is broadcast doesn't grow.  Trees are fitted on the driver on at most ``TRAIN_ROWS`` labelled URLs, a sample by
+suffix) and decide the rest.  Statistics of suffixes are taken over all URLs, by the exact suffix, and joined back; they
+are broadcast only up to a counted bound.  Trees are fitted on the driver on at most ``TRAIN_ROWS`` labelled URLs, a sample by
 hash when there are more.
 
 Null URL or none with ``://``: host and path are empty, no rule holds and the trees decide.  Repeated rows: a
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER
+from .common import UPPER, kept, maybe_broadcast
 
 TRAIN_ROWS = 50_000
-BUCKETS = 4096
 TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.2, 32, 5
 SEED = 5
+FEATURES = ("url", "host", "path", "common", "share")
 
 
 @dataclass(frozen=True)
@@ -64,10 +64,6 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def bucket(host: Column) -> Column:
-    return F.pmod(F.xxhash64(suffix(host)), F.lit(BUCKETS))
-
-
 def lexical(url: str, host: str, path: str) -> list[float]:
     """Lexical features of one URL; those of its suffix are added by the caller."""
     query = url.partition("?")[2].partition("#")[0]
@@ -135,32 +131,31 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     host, path = parts(F.col("url"))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     name, block = ruled(F.col("host"), F.col("path"), rules)
-    p = p.withColumn("rule", name).withColumn("block", block).withColumn("b", bucket(F.col("host")))
-    # At most BUCKETS rows: how common a suffix is, and the share of labelled URLs of it that are blocked.
-    table = np.zeros((BUCKETS, 2))
-    stats = p.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.count("block").alias("k"), F.sum(F.col("block").cast("int")).alias("s")).collect()
-    known = sum(r["k"] for r in stats)
-    rate = sum(r["s"] or 0 for r in stats) / max(1, known)
-    table[:, 1] = rate
-    for r in stats:
-        table[r["b"]] = math.log1p(r["n"]), ((r["s"] or 0) + 10 * rate) / (r["k"] + 10)
-
-    def features(urls: list, hosts: list, paths: list, b: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.array([lexical(*x) for x in zip(urls, hosts, paths, strict=True)], float), table[b]])
+    p = p.withColumn("rule", name).withColumn("block", block).withColumn("suffix", suffix(F.col("host")))
+    # How common a suffix is, and the share of labelled URLs of it that are blocked.
+    stats = kept(p.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("block").alias("k"), F.coalesce(F.sum(F.col("block").cast("int")), F.lit(0)).alias("s")))
+    whole = stats.agg(F.count(F.lit(1)).alias("suffixes"), F.sum("k").alias("k"), F.sum("s").alias("s")).first()
+    known = whole["k"] or 0
+    rate = (whole["s"] or 0) / max(1, known)
+    stats = stats.select("suffix", F.log1p("n").alias("common"), ((F.col("s") + 10 * rate) / (F.col("k") + 10)).alias("share"))
+    p = p.join(maybe_broadcast(stats, whole["suffixes"]), "suffix")
+
+    def features(urls: list, hosts: list, paths: list, common: list, share: list) -> np.ndarray:
+        return np.column_stack([np.array([lexical(*x) for x in zip(urls, hosts, paths, strict=True)], float), common, share])
 
     trees = None
     if 0 < rate < 1:
         some = p.where("block is not null")
         if known > TRAIN_ROWS:
             some = some.where(F.pmod(F.xxhash64("url", "page_id", F.lit(SEED)), F.lit(1 << 20)) < int((1 << 20) * TRAIN_ROWS / known))
-        rows = some.select("url", "host", "path", "b", "block").orderBy("url").collect()
+        rows = some.select(*FEATURES, "block").orderBy("url").collect()
         if rows and len({r["block"] for r in rows}) == 2:
-            trees = Trees().fit(features(*([r[c] for r in rows] for c in ("url", "host", "path")), np.array([r["b"] for r in rows])), np.array([r["block"] for r in rows], float))
+            trees = Trees().fit(features(*([r[c] for r in rows] for c in FEATURES)), np.array([r["block"] for r in rows], float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, h, w = (batch.column(c).to_pylist() for c in ("url", "host", "path"))
-            score = trees.predict(features(u, h, w, batch.column("b").to_numpy())) if trees and u else np.zeros(len(u))
+            n = batch.num_rows
+            score = trees.predict(features(*(batch.column(c).to_pylist() for c in FEATURES))) if trees and n else np.zeros(n)
             said = [("block" if (s >= 0.5 if b is None else b) else "allow") for s, b in zip(score.tolist(), batch.column("block").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "host", "path", "rule")] + [pa.array(said, pa.string()), pa.array(score)], ["page_id", "host", "path", "rule", "verdict", "block_score"])
 

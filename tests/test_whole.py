@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from choicefold import queries as q
-from choicefold.llm import mixing, token_counts
+from choicefold.llm import mixing, token_counts, url_filter
 from choicefold.llm.tokens import encoder, vocabulary
 from choicefold.operators import cuts
 
@@ -72,3 +72,12 @@ def test_counts_of_every_prefix(spark):
         assert (r["counts"], r["ends"]) == (want[1:], list(range(1, len(t) + 1))), t
         cut = max(i for i, c in enumerate(want) if c <= 9)
         assert r["n"] == want[min(7, len(t))] and r["cut"] == cut and within[r["doc_id"]] == want[cut]
+
+
+def test_suffixes_do_not_share_statistics(spark):
+    """Only its suffix tells what becomes of an unruled URL, and there are 6,000 of them."""
+    rules = [url_filter.Rule("net", "/es/", True), url_filter.Rule("net", "/en/", False)]
+    urls = [(i, f"http://h{i:04}.net/{p}/{k}") for i in range(6000) for p, k in ((("es", "en")[i % 2], 1), (("es", "en")[i % 2], 2), ("fr", 3))]
+    pages = spark.createDataFrame([(n, u) for n, (_, u) in enumerate(urls)], "page_id bigint, url string")
+    got = [r for r in url_filter.judge(pages, rules).collect() if "/fr/" in r["path"]]
+    assert len(got) == 6000 and all(r["verdict"] == ("allow" if int(r["host"][1:5]) % 2 else "block") for r in got)
