@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, stored
 
 #: Vectors that the trees are fitted on, at most.
 SAMPLE = 40_000

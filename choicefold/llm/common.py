@@ -36,17 +36,21 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    return _stored(df, name)[0]
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def kept(df: DataFrame, on_disk: bool = False) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """``df`` kept by the executors, so that it is made once; what a lost executor held is made again from the inputs.
 
-    For tables that several jobs read; unlike :func:`stored` it makes no files.  ``spark.catalog.clearCache()`` lets all of them go.
+    For small tables that several jobs read; unlike :func:`stored` it makes no files.
     """
-    return df.persist(StorageLevel.DISK_ONLY if on_disk else StorageLevel.MEMORY_AND_DISK)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -56,6 +60,58 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Tables that an operator needs only until its result is stored: leaving the block frees them all.
+
+    ``kept`` and ``stored`` work as the functions of these names.  A lazy result must not read any of them; what it reads
+    is made outside (or after) the block.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._kept, self._paths = spark, [], []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        for df in self._kept:
+            df.unpersist()
+        for path in self._paths:
+            drop_path(self.spark, path)
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self._kept.append(kept(df))
+        return df
+
+    def adopt(self, other: Scratch) -> None:
+        """Free with this one what the other holds."""
+        self._kept, self._paths = self._kept + other._kept, self._paths + other._paths
+
+    def free(self, df: DataFrame) -> None:
+        """Let one kept table go before the end."""
+        self._kept = [x for x in self._kept if x is not df]
+        df.unpersist()
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _stored(df, name)
+        self._paths.append(path)
+        return out
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has a column of that name already (in any case), and unlike each other."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, UPPER.lower())

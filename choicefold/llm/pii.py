@@ -9,18 +9,21 @@ further features.  Counts are taken over all documents; the driver sees only one
 of features, at most a few hundred.
 
 Positions: a text is cut by its matches, so lengths of the parts give them, in code
-points.  Null or empty text: no spans.  Repeated rows: a row each.  No candidates at all: nothing is added.
+points, summed in n log n steps for n matches, so that very long texts with very many matches stay cheap.  Null or empty text: no
+spans.  Repeated rows: a row each, and rows without an id too.  An empty table: no rows.  No candidates at all: nothing is added.  Ties: of spans that begin
+together, :func:`redact` names the one that ends first, then the kind listed first.  Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import Scratch, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 # The contract's patterns, made linear: a match can begin only where a run of its first characters
@@ -55,12 +58,30 @@ def _places(text: str, kind: str, regex: str) -> tuple[Column, Column]:
     return F.when(quick, F.regexp_extract_all(text, F.lit(regex), F.lit(0))).otherwise(none), F.when(quick, F.split(text, regex, -1)).otherwise(none)
 
 
+def _running(a: Column, merge: Callable[[Column, Column], Column], none: int) -> Column:
+    """Element i of an int array merged with all before it, by steps of 1, 2, 4, ...: n log n, where appending to an array is quadratic."""
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(a), F.lit(1)).cast("double"))).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(steps, a, lambda acc, step: F.transform(acc, lambda x, i: merge(x, F.coalesce(F.get(acc, i - step), F.lit(none)))))
+
+
 def _spans(m: str, p: str) -> Column:
     """Structs s, e (code points, end exclusive), m from matches and the parts between them."""
-    return F.expr(f"""aggregate(sequence(1, size({m})), named_struct('pos', 0, 'a', cast(array() as array<struct<s:int,e:int,m:string>>)),
-        (acc, i) -> named_struct('pos', acc.pos + char_length({p}[i-1]) + char_length({m}[i-1]),
-            'a', array_append(acc.a, named_struct('s', acc.pos + char_length({p}[i-1]), 'e', acc.pos + char_length({p}[i-1]) + char_length({m}[i-1]), 'm', {m}[i-1]))),
-        acc -> acc.a)""")
+    ends = _running(F.zip_with(m, F.slice(p, F.lit(1), F.size(m)), lambda x, y: F.length(x) + F.length(y)), lambda x, y: x + y, 0)
+    return F.zip_with(ends, m, lambda e, x: F.struct((e - F.length(x)).alias("s"), e.alias("e"), x.alias("m")))
+
+
+def _apart(cands: Column, base: Column) -> Column:
+    """Those of ``cands`` (s, e, m) that overlap none of ``base`` (s, e): one sorted list, the furthest end before and the nearest start after."""
+    every = F.array_sort(F.concat(
+        F.transform(base, lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("c"), x["e"].alias("e"), F.lit("").alias("m"))),
+        F.transform(cands, lambda x: F.struct(x["s"].alias("s"), F.lit(1).alias("c"), x["e"].alias("e"), x["m"].alias("m"))),
+    ))
+    far = 2**31 - 1
+    before = _running(F.transform(every, lambda x: F.when(x["c"] == 0, x["e"]).otherwise(0)), F.greatest, 0)
+    after = F.reverse(_running(F.reverse(F.transform(every, lambda x: F.when(x["c"] == 0, x["s"]).otherwise(far))), F.least, far))
+    clear = F.zip_with(F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a"))), every, lambda n, x: F.when((x["c"] == 1) & (n["b"] <= x["s"]) & (n["a"] >= x["e"]), x))
+    found = F.transform(F.filter(clear, lambda x: x.isNotNull()), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+    return F.when((F.size(cands) == 0) | (F.size(base) == 0), cands).otherwise(found)
 
 
 def _luhn(digits: Column) -> Column:
@@ -82,10 +103,15 @@ def _valid(kind: str, m: Column) -> Column:
     return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``pii_base`` (kind, s, e) and ``pii_cands`` (kind, s, e, votes, features) of every whole text."""
-    cols = [c for c in docs.columns if not c.startswith("pii_")]
-    d = docs.select(*cols).withColumn("pii_text", F.coalesce("text", F.lit("")))
+    """``docs`` with ``pii_base`` (kind, s, e) and ``pii_cands`` (kind, s, e, votes, features) of every whole text; columns of ``docs`` with these names are replaced."""
+    cols = [c for c in docs.columns if c.lower() not in ("pii_base", "pii_cands")]
+    # Other columns ride in one struct, so that no name of theirs can clash.
+    d = docs.select(F.struct(*[_named(c) for c in cols]).alias("pii_row"), F.coalesce("text", F.lit("")).alias("pii_text"))
     every = {**{f"b_{k}": (k, r) for k, r in BASE.items()}, **{f"c_{k}": (f"c_{k}", r) for k, r in CANDIDATE.items()}}
     for name, (k, regex) in every.items():
         m, p = _places("pii_text", k, regex)
@@ -102,7 +128,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     def candidate(k: str) -> Column:
         # A number that is part of a base span is no other one; a key may well hold digits that look like a card.
-        apart = F.col(f"pii_c_{k}") if k == "secret" else F.filter(f"pii_c_{k}", lambda x: ~F.exists("pii_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+        apart = F.col(f"pii_c_{k}") if k == "secret" else _apart(F.col(f"pii_c_{k}"), F.col("pii_base"))
 
         def judged(x: Column) -> Column:
             before = F.substr(F.col("pii_text"), F.greatest(x["s"] - BEFORE, F.lit(0)) + 1, F.least(x["s"], F.lit(BEFORE)))
@@ -117,7 +143,7 @@ def find(docs: DataFrame) -> DataFrame:
 
         return F.transform(apart, judged)
 
-    return d.withColumn("pii_cands", F.concat(*[candidate(k) for k in CANDIDATE])).select(*cols, "pii_base", "pii_cands")
+    return d.withColumn("pii_cands", F.concat(*[candidate(k) for k in CANDIDATE])).select(*[F.col("pii_row").getField(c).alias(c) for c in cols], "pii_base", "pii_cands")
 
 
 @dataclass(frozen=True)
@@ -166,13 +192,28 @@ def fit(found: DataFrame, rounds: int = 50) -> SpanModel:
     return SpanModel(weights, reliability)
 
 
-def detect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` (without the text, if not asked for) with ``pii_base`` and ``pii_spans`` (base and added), each an array of kind, s, e in order of kind, then s."""
-    found = find(docs)
-    found = kept(found, on_disk=True) if keep_text else kept(found.drop("text"))
-    model = fit(found)
+def _both(found: DataFrame, model: SpanModel) -> tuple[Column, Column]:
+    """All spans (base and added) and base spans, each in order of kind, then s."""
     added = F.transform(F.filter("pii_cands", model.accepts), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
-    return found.withColumn("pii_spans", F.array_sort(F.concat("pii_base", added))).withColumn("pii_base", F.array_sort("pii_base")).drop("pii_cands")
+    return F.array_sort(F.concat("pii_base", added)), F.array_sort("pii_base")
+
+
+def detect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, if not asked for) with ``pii_base`` and ``pii_spans`` (base and added), each an array of kind, s, e in order of kind, then s.
+
+    Columns of ``docs`` with these names are replaced.  With texts, these are searched once to fit the model and once more for the
+    result, so that none is kept between.
+    """
+    found = find(docs.drop("pii_spans"))
+
+    def marked(found: DataFrame) -> DataFrame:
+        spans, base = _both(found, fit(found))
+        return found.withColumns({"pii_spans": spans, "pii_base": base}).drop("pii_cands")
+
+    if keep_text:
+        return marked(found)
+    with Scratch(docs.sparkSession) as scratch:
+        return stored(marked(scratch.kept(found.drop("text"))), "pii-spans")
 
 
 def written(spans: str) -> Column:
@@ -182,12 +223,26 @@ def written(spans: str) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its texts replaced by its kind in brackets; null texts stay null."""
-    d = detect(docs).withColumn("pii_order", F.array_sort(F.transform("pii_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))))
-    names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    parts = F.expr(f"""aggregate(pii_order, named_struct('pos', 0, 'a', cast(array() as array<string>)),
-        (acc, x) -> named_struct('pos', greatest(acc.pos, x.e),
-            'a', if(x.s >= acc.pos, concat(acc.a, array(substring(text, acc.pos + 1, x.s - acc.pos), {names}[x.kind])), acc.a)),
-        acc -> concat(acc.a, array(substring(text, acc.pos + 1))))""")
-    text = F.when(F.size("pii_order") == 0, F.col("text")).otherwise(F.array_join(parts, ""))
-    return d.withColumn("text", F.when(F.col("text").isNull(), F.lit(None)).otherwise(text)).select(*docs.columns)
+    """``docs`` with every span of its texts replaced by its kind in brackets, of spans that overlap the first; null texts stay null.
+
+    Texts are searched once to fit the model and once more for the result, so that no text is kept between.
+    """
+    rows = docs.select(F.struct(*[_named(c) for c in docs.columns]).alias("row"), "text")
+    found = find(rows)
+    spans, _ = _both(found, fit(found))
+    d = found.withColumn("pii_order", F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))))
+    # Where the text goes on after all spans up to each one.
+    d = d.withColumn("pii_ends", _running(F.transform("pii_order", lambda x: x["e"]), F.greatest, 0))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    # Four bytes a character, so that a place in the text is found without walking to it.
+    wide = F.encode("text", "UTF-32")
+
+    def piece(x: Column, i: Column) -> Column:
+        begin = F.coalesce(F.get("pii_ends", i - 1), F.lit(0))
+        plain = F.decode(F.substr(F.col("pii_wide"), begin * 4 + 1, (x["s"] - begin) * 4), "UTF-32")
+        return F.when(x["s"] >= begin, F.concat(plain, F.get(names, x["kind"]))).otherwise("")
+
+    d = d.withColumn("pii_wide", F.when(F.size("pii_order") > 0, wide))
+    last = F.decode(F.substr(F.col("pii_wide"), F.element_at("pii_ends", -1) * 4 + 1), "UTF-32")
+    text = F.when(F.size("pii_order") > 0, F.concat(F.array_join(F.transform("pii_order", piece), ""), last)).otherwise(F.col("text"))
+    return d.select(*[(F.when(F.col("text").isNotNull(), text) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

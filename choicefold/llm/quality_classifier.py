@@ -8,7 +8,10 @@ binned, and pooling of adjacent violators makes the calibration from the bins.
 
 Training uses labelled rows the caller gives, at most ``TRAIN_ROWS`` of them (a sample by hash of the id,
 when there are more); everything else covers all rows.  Conflicting labels of one id: their mean.
-Null or empty text: statistics of an empty text, scored like any other.  No usable label: score 0.5.
+Null or empty text: statistics of an empty text, scored like any other.  No usable label: score 0.5, and
+every document is accepted.  Very long texts are taken whole, one at a time if need be.  Ties of scores share a bin and so a
+calibrated score; 0.5 exactly is accepted.  Repeated rows: a row each, with one score.  An empty table: no rows.  Rows without an id
+are scored but not learned from.  Other columns are passed on by :func:`accepted`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, slices
+from .common import Scratch, free_names, slices, stored
 
 TRAIN_ROWS = 200_000
 FEATURES = 256
@@ -109,6 +112,11 @@ def isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame) -> Model | None:
     """``labelled``: doc_id, x, y. The model, or None without two kinds of labels."""
+    with Scratch(labelled.sparkSession) as s:
+        return _fit(labelled, s)
+
+
+def _fit(labelled: DataFrame, scratch: Scratch) -> Model | None:
     total = labelled.agg(F.count(F.lit(1)), F.min("y"), F.max("y")).first()
     if not total[0] or total[1] == total[2]:
         return None
@@ -116,7 +124,7 @@ def fit(labelled: DataFrame) -> Model | None:
     if total[0] > TRAIN_ROWS:
         chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < int((1 << 20) * TRAIN_ROWS / total[0]))
     # Bounded by TRAIN_ROWS, so are the partitions and with them the sums that reach the driver.
-    chosen = kept(chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int")).coalesce(24))
+    chosen = scratch.kept(chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int")).coalesce(24))
     k = len(NAMES)
     moments = chosen.agg(*[F.avg(F.get("x", i)) for i in range(k)], *[F.stddev_pop(F.get("x", i)) for i in range(k)]).first()
     mean, scale = np.array(moments[:k]), np.array([s if s > 1e-9 else 1.0 for s in moments[k:]])
@@ -168,21 +176,23 @@ def _learn(x: DataFrame, labels: DataFrame) -> Model | None:
 
 def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | None]:
     """doc_id, score, predicted for every row of ``docs``; ``labels`` (doc_id, y) are the rows to learn from."""
-    x = kept(measured(docs))
-    model = _learn(x, labels)
+    with Scratch(docs.sparkSession) as scratch:
+        x = scratch.kept(measured(docs))
+        model = _learn(x, labels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = model.score(_matrix(b)) if model else np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                s = model.score(_matrix(b)) if model else np.full(b.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return x.mapInArrow(run, "doc_id long, score double, predicted int"), model
+        return stored(x.mapInArrow(run, "doc_id long, score double, predicted int"), "quality-scores"), model
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects (score below 0.5); every column and row else stays."""
     # Statistics are taken a second time for the verdict: that is cheaper than to shuffle texts to their scores.
-    model = _learn(kept(measured(docs)), labels)
+    with Scratch(docs.sparkSession) as scratch:
+        model = _learn(scratch.kept(measured(docs)), labels)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
@@ -190,5 +200,6 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             return pd.Series(np.full(len(text), 0.5))
         return pd.Series(model.score(np.array([statistics(t or "") for t in text], float)))
 
-    good = docs.withColumn("_quality", score(F.col("text"))).where("_quality >= 0.5")
+    name = free_names(docs, "quality")[0]
+    good = docs.withColumn(name, score(F.col("text"))).where(F.col(name) >= 0.5)
     return good.select(*docs.columns)

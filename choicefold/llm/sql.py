@@ -7,28 +7,34 @@ from . import mixing
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 MIX = rf"""
-with recursive d as (select doc_id, source, len({WORDS})::bigint size from documents),
-per as (select source, sum(size)::bigint source_size, (row_number() over (order by source is null, source) - 1) % {mixing.CYCLE} + 1 w from d group by source),
+with d as (select doc_id, source, len({WORDS})::bigint size from documents),
+per as (select source, count(*)::bigint docs, sum(size)::bigint source_size, (row_number() over (order by source is null, source) - 1) % {mixing.CYCLE} + 1 w from d group by source),
 ratio as (select *, {mixing.CAP} * source_size cap, ({mixing.CAP} * source_size) / w ratio from per),
 run as (select *, (select sum(source_size) from per)::bigint - coalesce(sum(cap) over o, 0)::bigint left_, (select sum(w) from per)::bigint - coalesce(sum(w) over o, 0)::bigint weight
   from ratio window o as (order by ratio, source is null, source rows between unbounded preceding and 1 preceding)),
 first as (select ratio from_, left_ / weight level from run where cap * weight > left_ * w order by ratio, level desc limit 1),
-goal as (select source, source_size, case when from_ is null or ratio < from_ then cap::double else level * w end target from ratio left join first on true),
+goal as (select source, docs, source_size, case when from_ is null or ratio < from_ then cap::double else level * w end target from ratio left join first on true),
 rate as (select *, case when source_size > 0 then target / source_size else 0.0 end ratio from goal),
 need as (select *, least(floor(ratio), {mixing.CAP})::bigint whole, target - least(floor(ratio), {mixing.CAP})::bigint * source_size need from rate),
 odds as (select *, greatest(1e-12::double, least(1 - 1e-12::double, case when source_size > 0 then need / source_size else 0.5 end)) p from need),
-drawn as (select d.*, source_size, target, whole, need, p, (('0x' || substr(md5('{mixing.SEED}:' || doc_id::varchar), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double u from d join odds o on d.source is not distinct from o.source),
-ranked as (select *, (u / (1 - u)) / (p / (1 - p) * 1.0::double) q from drawn),
+drawn as (select d.*, docs, source_size, target, whole, need, p, (('0x' || substr(md5('{mixing.SEED}:' || doc_id::varchar), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double u from d join odds o on d.source is not distinct from o.source),
+ranked as (select *, (u / (1 - u)) / (p / (1 - p) * case when size > 0 then sqrt(size::double * docs::double / source_size::double) else 1.0::double end) q from drawn),
 placed as (select * exclude (q), q / (1 + q) r, floor(q / (1 + q) * {mixing.BUCKETS})::bigint b from ranked),
 summed as (select *, sum(size) over (partition by source order by r, doc_id)::bigint upto from placed),
 edges as (select source, b edge, n_upto - n before_ from (select source, b, sum(size)::bigint n, sum(sum(size)) over (partition by source order by b)::bigint n_upto, any_value(need) need from placed group by source, b) where n_upto - n <= need and need < n_upto),
 cut as (select s.*, edge, before_, case when edge is null then s.need > 0 else b < edge or (b = edge and upto <= s.need) end taken_ from summed s left join edges e on s.source is not distinct from e.source),
 gaps as (select source, case when any_value(edge) is null then 0.0 else any_value(need) - coalesce(max(case when b = edge and taken_ then upto end), any_value(before_)) end gap from cut group by source),
-next as (select c.source, doc_id, size, row_number() over (partition by c.source order by r, doc_id) nth from cut c join gaps g on c.source is not distinct from g.source where gap > 0 and size > 0 and not taken_),
-fill as (select source, 0::bigint nth, gap, null::bigint doc_id from gaps where gap > 0
-  union all select f.source, n.nth, case when n.size <= f.gap then f.gap - n.size else f.gap end, case when n.size <= f.gap then n.doc_id end from fill f join next n on f.source is not distinct from n.source and n.nth = f.nth + 1 where n.nth <= {mixing.FILL}),
-added as (select doc_id from fill where doc_id is not null)
-select c.doc_id, size, source_size, target, size * least(whole + case when size = 0 then 0 when taken_ or a.doc_id is not null then 1 else 0 end, {mixing.CAP}) taken from cut c left join added a on a.doc_id = c.doc_id
+-- each later document that still fits, in order of rank: a fold over the ordered list
+later as (select c.source, any_value(gap) gap, list({{'g': 0.0::double, 'z': size::double, 'i': doc_id, 'a': []::bigint[]}} order by r, doc_id) xs
+  from cut c join gaps g on c.source is not distinct from g.source where gap > 0 and size > 0 and not taken_ group by c.source),
+fold as (select source, list_reduce(list_prepend({{'g': gap::double, 'z': 0.0::double, 'i': null::bigint, 'a': []::bigint[]}}, xs),
+  lambda a, x: case when x.z <= a.g then {{'g': a.g - x.z, 'z': 0.0::double, 'i': null::bigint, 'a': list_append(a.a, x.i)}} else a end) f from later),
+added as (select unnest(f.a) doc_id from fold),
+held as (select c.*, whole + case when size = 0 then 0 when taken_ or a.doc_id is not null then 1 else 0 end copies from cut c left join added a on a.doc_id = c.doc_id),
+short as (select source, any_value(target) - sum(size * copies)::bigint short from held group by source),
+last_ as (select doc_id from (select doc_id, row_number() over (partition by h.source order by abs(short - size), doc_id) k from held h join short s on h.source is not distinct from s.source
+  where copies < {mixing.CAP} and size > 0 and abs(short - size) < short) where k = 1)
+select h.doc_id, size, source_size, target, size * (copies + case when l.doc_id is not null then 1 else 0 end) taken from held h left join last_ l on l.doc_id = h.doc_id
 """
 
 JACCARD = r"""
