@@ -2,6 +2,12 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+
+Every stage works on all rows its predecessor kept, whatever other columns they have and whatever their names; an empty table goes
+through all of them and comes out without rows.  Null or empty text: scored like an empty text, linked with nothing, without personal
+data, of no words and so in the mix only as often as its source's whole copies, and packed as the end id alone.  Rows without an id
+are scored, never dropped as copies, mixed as one document, and packed.  Repeated rows: one class of the join, whose smallest id
+stays with all its rows.  Ties and very long texts are as the operators' modules say; texts are never cut.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicefold.llm import jaccard, mixing, packing, pii, quality_classifier
-from choicefold.llm.common import stored
+from choicefold.llm.common import Scratch
 from choicefold.llm.tokens import vocabulary
 
 
@@ -54,8 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage read is removed once its own result is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        mine = Scratch(spark)
+        docs = mine.stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before.close()
+        before = mine
     return STAGES[-1][1](spark, docs, sf_dir)
