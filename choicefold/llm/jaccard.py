@@ -355,8 +355,9 @@ def groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
         lost = s.kept(_astray(star.join(sketches.withColumnRenamed("doc", "b"), "b"), percent, s))
         if not lost.isEmpty():
             sets = _sets(_some(docs, lost.select(F.col("b").alias("doc_id")), s), n)
-            links = links.union(s.stored(_across(lost, sets, percent, s), "jaccard-links"))
-            label = components(links, s)
+            across = s.stored(_across(lost, sets, percent, s), "jaccard-links")
+            if not across.isEmpty():
+                label = components(links.union(across), s)
         named = classes.join(label, F.col("rep") == F.col("id"), "left").select("n_shingles", "hi", "lo", F.coalesce("component", "rep").alias("component_id"))
         linked = rows.where(full).join(named, ["n_shingles", "hi", "lo"]).select("doc_id", "n_shingles", "component_id")
         lone = rows.where(~full | full.isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

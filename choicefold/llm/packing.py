@@ -22,6 +22,8 @@ from .common import runs
 from .tokens import encoder
 
 MOST = 2048
+#: Bytes of text that a worker encodes at a time (one whole text at least); its arrays take some 40 times as much.
+RUN_BYTES = 2_000_000
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket"]
 
 
@@ -37,7 +39,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, keep_space: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, keep_space)
-        for batch in runs(batches, "text"):
+        for batch in runs(batches, "text", RUN_BYTES):
             ids, per = enc.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(per), end_id).astype("<u4")
             per = per + 1

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker keeps, about 200 bytes each; beyond it only those in use stay (a bound of memory, not of work).
-CACHE_WORDS = 600_000
+#: Words that a worker keeps, about 200 bytes each, with and without spaces; beyond it only those in use stay (a bound of memory, not of work).
+CACHE_WORDS = {True: 600_000, False: 300_000}
 #: Two characters of white space in a row, or one at an end, by any definition.
 _WHITE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
 _SPECIAL = "\\x00|<\\|"
@@ -82,7 +82,7 @@ class WordEncoder:
 
     def locate(self, keys: list[str]) -> np.ndarray:
         """Places of keys in the dictionary."""
-        if len(self.at) + len(keys) > CACHE_WORDS:
+        if len(self.at) + len(keys) > CACHE_WORDS[self.keep_space]:
             # What this batch uses stays, and with it the words that are common.
             kept = [k for k in dict.fromkeys(keys) if k and k in self.at]
             ids, ends = self.gather(np.fromiter(map(self.at.__getitem__, kept), np.int64, len(kept)))
