@@ -324,11 +324,12 @@ def groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(docs.sparkSession) as s:
-        rows = s.kept(_classes(docs, n))
+        # Tables, not kept in memory, where much is built on them: plans stay short.
+        rows = s.stored(_classes(docs, n), "jaccard-rows")
         full: Column = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-        classes = s.kept(rows.where(full).groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("rep")))
+        classes = s.stored(rows.where(full).groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
         # Documents that stand for a class: all but the others, which are the fewer.
-        other = s.kept(rows.where(full).select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
+        other = s.stored(rows.where(full).select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "jaccard-other")
         n_other = other.count()
 
         def standing(df: DataFrame) -> DataFrame:
@@ -337,22 +338,22 @@ def groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
         reps = standing(docs.where(F.col("doc_id").isNotNull()))
         sketches = standing(rows.where(full)).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "bits")
         shared = s.stored(_led(reps, rows.count(), n, percent, s), "jaccard-shared")  # a table, so that the shuffle of all keys can go
-        members = s.kept(shared.where("lead != doc").groupBy(F.col("lead").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("votes")))
-        pairs = s.kept(_near(members, sketches, percent, s))
+        members = s.stored(shared.where("lead != doc").groupBy(F.col("lead").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("votes")), "jaccard-members")
+        pairs = s.stored(_near(members, sketches, percent, s), "jaccard-pairs")
         # First each document against the one that leads most of its blocks.
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
         links = _verified(best, docs, n, percent, s)
         label = components(links, s)
         # Then against its other leaders, where they are in another component.
-        more = _verified(_labels(pairs, label, "a", "b").where("c_a != c_b"), docs, n, percent, s)
+        more = _verified(_labels(pairs.select("a", "b"), label, "a", "b").where("c_a != c_b"), docs, n, percent, s)
         if not more.isEmpty():
             links = links.union(more)
             label = components(links, s)
         # What is left are documents of one leader in several components.
-        star = _labels(members.select("a", "b"), label, "b").withColumnRenamed("c_b", "c")
+        star = s.stored(_labels(members.select("a", "b"), label, "b").withColumnRenamed("c_b", "c"), "jaccard-star")
         torn = s.kept(star.groupBy("a").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("a"))
         star = star.join(maybe_broadcast(torn, torn.count(), BROADCAST_IDS), "a", "left_semi")
-        lost = s.kept(_astray(star.join(sketches.withColumnRenamed("doc", "b"), "b"), percent, s))
+        lost = s.stored(_astray(star.join(sketches.withColumnRenamed("doc", "b"), "b"), percent, s), "jaccard-lost")
         if not lost.isEmpty():
             sets = _sets(_some(docs, lost.select(F.col("b").alias("doc_id")), s), n)
             across = s.stored(_across(lost, sets, percent, s), "jaccard-links")

@@ -124,7 +124,7 @@ def _filled(ranked: DataFrame, cut: DataFrame, n_sources: int, into: Scratch) ->
         if pool.isEmpty():
             break
         # Many at once: the cut-off over those that may fit.
-        part = into.kept(_cut_off(pool, pool.groupBy("s_null", "s").agg(F.first("need").alias("need")), n_sources, into))
+        part = into.stored(_cut_off(pool, pool.groupBy("s_null", "s").agg(F.first("need").alias("need")), n_sources, into), "mix-cut")
         placed = of(pool, part)
         found.append(placed.where(_taken(F.col("b"), me)).select("_mx_sn", "_mx_s", me.alias("_mx_k")))
         rest = placed.where(~_taken(F.col("b"), me) & (F.col("size") <= F.col("_mx_gap"))).select("s_null", "s", "b", "r", "id", "size", F.col("_mx_gap").alias("need"))
@@ -168,8 +168,9 @@ def _mixed(docs: DataFrame, cols: list[str], odds: Column | None, seed: str) ->
         return q / (1 + q)
 
     with Scratch(docs.sparkSession) as s:
-        sizes = s.kept(d.select(F.col("_mx_sn").alias("s_null"), F.col("_mx_s").alias("s"), F.col("_mx_id").alias("id"), F.col("_mx_size").alias("size"), F.col("_mx_o").alias("o")))
-        goal = s.kept(targets(sizes))
+        # Tables, not kept in memory: what is built on them has short plans.
+        sizes = s.stored(d.select(F.col("_mx_sn").alias("s_null"), F.col("_mx_s").alias("s"), F.col("_mx_id").alias("id"), F.col("_mx_size").alias("size"), F.col("_mx_o").alias("o")), "mix-sizes")
+        goal = s.stored(targets(sizes), "mix-goal")
         n_sources = goal.count()
         goal = goal.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
         goal = goal.withColumn("whole", F.least(F.floor("ratio"), F.lit(CAP)).cast("long"))
@@ -177,10 +178,10 @@ def _mixed(docs: DataFrame, cols: list[str], odds: Column | None, seed: str) ->
         goal = goal.withColumn("p", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.when(F.col("source_size") > 0, F.col("need") / F.col("source_size")).otherwise(F.lit(0.5)))))
         ranked = sizes.join(maybe_broadcast(goal, n_sources), ["s_null", "s"]).withColumn("r", rank(uniform(F.col("id"), seed), F.col("p"), F.col("o"), F.col("size"), F.col("docs"), F.col("source_size")))
         ranked = ranked.withColumn("b", F.floor(F.col("r") * BUCKETS).cast("long")).select("s_null", "s", "id", "size", "r", "b", "need")
-        cut = s.kept(_cut_off(ranked, goal, n_sources, s))
+        cut = s.stored(_cut_off(ranked, goal, n_sources, s), "mix-cut")
         filled = stored(_filled(ranked, cut, n_sources, s), "mix-filled")
         n_filled = filled.count()
-        last = _last(ranked, cut, filled, n_sources, n_filled)
+        last = s.stored(_last(ranked, cut, filled, n_sources, n_filled), "mix-last")
         # What the result reads: a row per source, and the few documents taken beyond the cut-offs.
         cut = stored(cut.join(maybe_broadcast(last, n_sources), ["_mx_sn", "_mx_s"], "left"), "mix-cut")
     d = d.join(maybe_broadcast(cut, n_sources), ["_mx_sn", "_mx_s"])
