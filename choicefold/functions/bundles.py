@@ -1,7 +1,7 @@
-"""Bundles as bytes: an identity of a chosen set that keeps its type and shape.
+"""Identities of chosen bundles, made by SQL functions.
 
-Format: magic, length of the type tag and rank (big-endian 16 bit), the tag, the shape
-(little-endian 64 bit), the raw elements.  ``tag:raw`` is an older form of vectors.
+A bundle of zeros and ones is written as one character an item; any other as ``v:`` and its values, each in the shortest
+form that reads back as the same double (a negative zero counts as zero).  Different bundles of one length have different keys.
 """
 
 from __future__ import annotations
@@ -9,75 +9,33 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the first bytes of a key.
-MAGIC = b"CB1"
+OTHER = "v:"
 
 
-def pack(bundle) -> bytes:
-    """Key of one bundle; a scalar is a vector of one element."""
-    a = np.ascontiguousarray(bundle)
-    tag = a.dtype.str.encode()
-    return b"".join([MAGIC, len(tag).to_bytes(2, "big"), a.ndim.to_bytes(2, "big"), tag, np.array(a.shape, "<i8").tobytes(), a.tobytes()])
-
-
-def unpack(key: bytes) -> np.ndarray:
-    """The bundle of a key; ValueError for keys that hold none, such as those of aggregate cuts."""
-    if key[:3] == MAGIC:
-        if len(key) < 7:
-            raise ValueError("the key ends within its header")
-        tag_end = 7 + int.from_bytes(key[3:5], "big")
-        at = tag_end + 8 * int.from_bytes(key[5:7], "big")
-        if at > len(key):
-            raise ValueError("the key ends within its shape")
-        kind, shape = _kind(key[7:tag_end]), tuple(np.frombuffer(key[tag_end:at], "<i8").tolist())
-        if min(shape, default=0) < 0 or int(np.prod(shape)) * kind.itemsize != len(key) - at:
-            raise ValueError("the key's elements don't fit its shape")
-        return np.frombuffer(key, kind, offset=at).reshape(shape)
-    tag, colon, raw = key.partition(b":")
-    if colon:
-        kind = _kind(tag)
-        if kind.itemsize and len(raw) % kind.itemsize == 0:
-            return np.frombuffer(raw, kind)
-    raise ValueError("the key holds no bundle; keys of aggregate cuts don't")
-
-
-def _kind(tag: bytes) -> np.dtype:
-    try:
-        return np.dtype(tag.decode("ascii"))
-    except (UnicodeDecodeError, TypeError) as e:
-        raise ValueError("the key's type tag is unknown") from e
+def sql_key(bundle: Column) -> Column:
+    """Key of an array column."""
+    values = F.transform(bundle, lambda b: b.cast("double") + F.lit(0.0))
+    plain = F.forall(values, lambda v: (v == 0) | (v == 1))
+    short = F.array_join(F.transform(values, lambda v: F.when(v == 0, "0").otherwise("1")), "")
+    return F.encode(F.when(plain, short).otherwise(F.concat(F.lit(OTHER), F.array_join(F.transform(values, lambda v: v.cast("string")), ","))), "UTF-8")
 
 
-def canonical(key: bytes) -> bytes:
-    """The present form of a key; keys that hold no bundle stay as they are."""
+def values(key: bytes) -> np.ndarray:
+    """The bundle of a key. Keys of aggregate cuts hold none: ValueError."""
     try:
-        found = unpack(key)
-    except ValueError:
-        if key[:3] == MAGIC:
-            raise
-        return key
-    return key if key[:3] == MAGIC else pack(found)
+        text = bytes(key).decode("ascii")
+    except UnicodeDecodeError:
+        raise ValueError("an aggregate cut has no bundle") from None
+    if text.startswith(OTHER):
+        return np.array([float(x) for x in text[len(OTHER) :].split(",")])
+    if set(text) - {"0", "1"}:
+        raise ValueError("an aggregate cut has no bundle")
+    return np.array([float(c) for c in text])
 
 
 def aggregate_key(phi, epsilon: float) -> bytes:
     """Key of an aggregate cut: SHA-256 of its coefficients."""
     return hashlib.sha256(np.append(np.asarray(phi, float), float(epsilon)).tobytes()).digest()
-
-
-def key(bundle: Column, dtype: str = "float64") -> Column:
-    """:func:`pack` of an array column, Arrow batch by batch."""
-
-    @F.pandas_udf("binary")
-    def run(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: pack(np.asarray(x, dtype)))
-
-    return run(bundle)
-
-
-def sql_key(bundle: Column) -> Column:
-    """A key in SQL only, for 0/1 bundles: one character an item."""
-    return F.encode(F.array_join(F.transform(bundle, lambda b: F.when(b.cast("double") != 0, "1").otherwise("0")), ""), "UTF-8")

@@ -34,11 +34,6 @@ def dot(a: Column | str, b: Column | str, size: int) -> Column:
     return total([item(a, k) * item(b, k) for k in range(size)])
 
 
-def dot_any(a: Column | str, b: Column | str) -> Column:
-    """Inner product of two vectors of any size."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def first_max(scores: Sequence[Column]) -> tuple[Column, Column]:
     """Greatest score and the place (from 0) of the first that has it."""
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]

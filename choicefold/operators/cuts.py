@@ -76,6 +76,9 @@ class CutPolicy:
     def retire(self, readings: DataFrame) -> DataFrame:
         return readings.select(*KEY).limit(0)
 
+    def check_size(self, k: int, n_agents: int) -> None:
+        """ValueError if the policy leaves too few cuts for a program of k parameters and a slack for each of n_agents (agents or blocks of them)."""
+
 
 class AddAll(CutPolicy):
     """Admits all, retires none."""
@@ -187,6 +190,10 @@ class Compose(CutPolicy):
             candidates = p.admit(candidates)
         return candidates
 
+    def check_size(self, k: int, n_agents: int) -> None:
+        for p in (*self.admit_chain, *self.retire_votes):
+            p.check_size(k, n_agents)
+
     def retire(self, readings: DataFrame) -> DataFrame:
         votes = [p.retire(readings) for p in self.retire_votes]
         if not votes:

@@ -182,7 +182,8 @@ class UnitDemand(NativeOracle):
 class Oracle:
     """User code: implement :meth:`price` or :meth:`price_batch`, and :meth:`features` or :meth:`features_batch`.
 
-    Each must be a pure function of theta and the agents' rows. ``setup`` runs once per worker and plan.
+    Each must be a pure function of theta and the agents' rows. ``setup`` runs before the first row of a task, ``teardown`` after its last, even
+    if one fails.
     Where both forms are there, ``check=True`` compares them.
     """
 
@@ -191,6 +192,8 @@ class Oracle:
 
     def setup(self) -> None: ...
 
+    def teardown(self) -> None: ...
+
     def price(self, theta: np.ndarray, row: dict) -> Demand:
         raise NotImplementedError
 
@@ -263,17 +266,20 @@ class UserOracle(NativeOracle):
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             oracle.setup()
-            for pdf in it:
-                if not len(pdf):
-                    continue
-                out = []
-                for t, part in pdf.groupby(pdf["_theta"].map(tuple), sort=False):
-                    part = part.drop(columns="_theta").reset_index(drop=True)
-                    found = _price(oracle, np.array(t), part)
-                    sets = [np.atleast_1d(np.asarray(d.bundle, float)) for d in found]
-                    phi, eps = _features(oracle, part, [d.bundle for d in found])
-                    out.append(part.assign(bundle=sets, payoff=[d.payoff for d in found], gap=[d.gap for d in found], phi=list(phi), epsilon=eps))
-                yield pd.concat(out)[[*names, "bundle", "payoff", "gap", "phi", "epsilon"]]
+            try:
+                for pdf in it:
+                    if not len(pdf):
+                        continue
+                    out = []
+                    for t, part in pdf.groupby(pdf["_theta"].map(tuple), sort=False):
+                        part = part.drop(columns="_theta").reset_index(drop=True)
+                        found = _price(oracle, np.array(t), part)
+                        sets = [np.atleast_1d(np.asarray(d.bundle, float)) for d in found]
+                        phi, eps = _features(oracle, part, [d.bundle for d in found])
+                        out.append(part.assign(bundle=sets, payoff=[d.payoff for d in found], gap=[d.gap for d in found], phi=list(phi), epsilon=eps))
+                    yield pd.concat(out)[[*names, "bundle", "payoff", "gap", "phi", "epsilon"]]
+            finally:
+                oracle.teardown()
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in agents.schema)
         return agents.withColumn("_theta", theta).mapInPandas(run, f"{schema}, {OUT}")
@@ -288,9 +294,9 @@ class UserOracle(NativeOracle):
         return run(F.struct(*[c for c in observations.columns if c != choice]), F.col(choice))
 
 
-def with_key(priced: DataFrame, exact_bytes: bool = False) -> DataFrame:
-    """Adds ``bundle_key``: in SQL for 0/1 bundles, or in the byte format of :mod:`choicefold.functions.bundles`."""
-    return priced.withColumn("bundle_key", bundles.key(F.col("bundle")) if exact_bytes else bundles.sql_key(F.col("bundle")))
+def with_key(priced: DataFrame) -> DataFrame:
+    """Adds ``bundle_key``, exact for bundles of any numbers."""
+    return priced.withColumn("bundle_key", bundles.sql_key(F.col("bundle")))
 
 
 def reduced_cost(priced: DataFrame, u: DataFrame | None) -> DataFrame:

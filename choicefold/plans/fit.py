@@ -76,6 +76,7 @@ class LoopConfig:
     policy: cx.CutPolicy = field(default_factory=cx.AddAll)
     callback: Callable[[int, object], int | None] | None = None
     on_event: Callable[[dict], None] | None = None
+    _silent: list[Exception] = field(default_factory=list, compare=False, repr=False)
 
     def __post_init__(self):
         for v, name in ((self.max_iterations, "max_iterations"), (self.min_iterations, "min_iterations")):
@@ -88,12 +89,12 @@ class LoopConfig:
 
 
 def tell(config: LoopConfig, event: dict) -> None:
-    """Progress goes to the caller's function; a failing one is never the fit's failure."""
-    if config.on_event is not None:
+    """Progress goes to the caller's function; a failing one is never the fit's failure, and isn't called again."""
+    if config.on_event is not None and not config._silent:
         try:
             config.on_event(event)
-        except Exception:  # noqa: BLE001
-            pass
+        except Exception as e:  # noqa: BLE001
+            config._silent.append(e)
 
 
 class Problem:
@@ -144,13 +145,13 @@ class Problem:
     def aggregated(self, theta: np.ndarray, blocks: int) -> tuple[list[CutRow], Certification]:
         """The aggregate cut of each block of agents."""
         d = self.priced(self.agents, literal(theta)).withColumn("block", F.pmod(F.xxhash64("agent_id"), F.lit(blocks)) if blocks > 1 else F.lit(0))
-        rows = moments.aggregate_cut(d, self.K, self.weight, ("block",)).orderBy("block").collect()
+        rows = sorted(moments.aggregate_cut(d, self.K, self.weight, ("block",)).collect(), key=lambda r: r["block"])
         cuts = [CutRow(0, int(r["block"]), np.array(r["phi"]), r["epsilon"], aggregate_key(r["phi"], r["epsilon"])) for r in rows]
         tally = Certification(sum(r["n_priced"] for r in rows), sum(r["n_inexact"] for r in rows), max(r["worst_gap"] for r in rows))
         return cuts, tally
 
 
-def _admitted(spark, policy: cx.CutPolicy, rows: list[CutRow], violations: list[float]) -> list[CutRow]:
+def admitted(spark, policy: cx.CutPolicy, rows: list[CutRow], violations: list[float]) -> list[CutRow]:
     if type(policy) is cx.AddAll or not rows:
         return rows
     df = spark.createDataFrame([(i, r.agent_id, bytearray(r.bundle_key), v) for i, (r, v) in enumerate(zip(rows, violations, strict=True))], "pos bigint, agent_id bigint, bundle_key binary, violation double")
@@ -190,6 +191,7 @@ def run_fit(p: Problem, config: LoopConfig, warm_cuts: Iterable[CutRow] = (), ma
     if warm_cuts:
         master.reinstall(warm_cuts)
     blocks = p.model.blocks if p.model.formulation == BLOCKSLACK else 1
+    config.policy.check_size(p.K, p.n * p.S if nslack else blocks)
     retire, last, force_full, converged = Retirement(config.policy), None, False, False
     tell(config, {"event": "start", "n_agents": p.n * p.S, "K": p.K})
     it = 0
@@ -216,7 +218,7 @@ def run_fit(p: Problem, config: LoopConfig, warm_cuts: Iterable[CutRow] = (), ma
                 seen.update({r["agent_id"]: it for r in agents.select("agent_id").toLocalIterator()} if not full or last is None else dict.fromkeys(seen, it))
                 last = sorted(seen.items())
             found = [CutRow(0, r["agent_id"], np.array(r["phi"]), r["epsilon"], bytes(r["bundle_key"])) for r in rows]
-            admit = _admitted(p.spark, config.policy, found, [r["rc"] for r in rows])
+            admit = admitted(p.spark, config.policy, found, [r["rc"] for r in rows])
         else:
             admit, tally = p.aggregated(theta, blocks)
             u = master.u_values()
@@ -228,7 +230,7 @@ def run_fit(p: Problem, config: LoopConfig, warm_cuts: Iterable[CutRow] = (), ma
         hit = worst <= config.tolerance
         done = hit and full and it + 1 >= floor
         gone = [] if done else retire.keys(p.spark, master, it)
-        if gone and nslack:
+        if gone:
             master.remove_cuts(gone)
         new = master.add_cuts(admit)
         trace.append({"iteration": it, "gap": worst, "n_priced": tally.n_priced, "added": new, "retired": len(gone), "n_cuts": master.n_active_cuts, "objective": master.objective()})

@@ -135,20 +135,24 @@ class BootstrapResult:
     def n_converged(self) -> int:
         return int(self.converged.sum())
 
-    def _used(self, converged_only: bool) -> np.ndarray:
+    def _used(self, converged_only: bool, least: int = 1) -> np.ndarray:
+        """Replications of a summary, which needs ``least`` of them."""
+        used = self.thetas
         if converged_only and not self.converged.all():
             warnings.warn(f"{int((~self.converged).sum())} replications did not converge and are left out", stacklevel=3)
-            return self.thetas[self.converged]
-        return self.thetas
+            used = self.thetas[self.converged]
+        if len(used) < least:
+            raise ValueError(f"{len(used)} replications can be used, {least} are needed")
+        return used
 
     def mean(self, converged_only: bool = True) -> np.ndarray:
         return self._used(converged_only).mean(0)
 
     def se(self, converged_only: bool = True) -> np.ndarray:
-        return self._used(converged_only).std(0, ddof=1)
+        return self._used(converged_only, 2).std(0, ddof=1)
 
     def cov(self, converged_only: bool = True) -> np.ndarray:
-        return np.cov(self._used(converged_only), rowvar=False, ddof=1).reshape(self.thetas.shape[1], -1)
+        return np.cov(self._used(converged_only, 2), rowvar=False, ddof=1).reshape(self.thetas.shape[1], -1)
 
     def ci(self, level: float = 0.95, converged_only: bool = True) -> tuple[np.ndarray, np.ndarray]:
         if not 0 < level < 1:

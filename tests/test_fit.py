@@ -170,3 +170,85 @@ def test_certification_rules():
     assert Certification(3, 1, float("inf")).to_dict() == {"n_priced": 3, "n_inexact": 1, "worst_gap": None, "worst_gap_unknown": True}
     with pytest.raises(ValueError):
         Certification(1, 2, 0.5)
+
+
+class Quantity(Oracle):
+    """A quantity of 0 to 3 of one good: value theta x q - q^2 / 2 + nu q."""
+
+    def price(self, theta, row):
+        worth = [theta[0] * row["x"] * q - q * q / 2 + row["shock"] * q for q in range(4)]
+        q = int(np.argmax(worth))
+        return Demand.exact(np.array([float(q)]), worth[q])
+
+    def features(self, row, bundle):
+        return np.array([row["x"] * bundle[0]]), float(-bundle[0] ** 2 / 2 + row["shock"] * bundle[0])
+
+
+def quantities(spark):
+    rng = np.random.default_rng(5)
+    x, shock = rng.uniform(0.5, 1.5, 30), rng.normal(0, 0.7, 30)
+    q = np.array([np.argmax([1.5 * x[i] * k - k * k / 2 + shock[i] * k for k in range(4)]) for i in range(30)])
+    rows = [(i, float(x[i]), float(rng.normal(0, 0.7)), [float(q[i])]) for i in range(30)]
+    return Data(spark.createDataFrame(rows, "obs_id bigint, x double, shock double, choice array<double>")), rows
+
+
+def test_bundles_that_are_not_zeros_and_ones(spark):
+    data, rows = quantities(spark)
+
+    def objective(t):
+        return sum(max(t * x * k - k * k / 2 + s * k for k in range(4)) - t * x * c[0] for _, x, s, c in rows)
+
+    # Piecewise linear and convex: the least value is at a kink, where a quantity and the next are worth the same.
+    kinks = [(k + 0.5 - s) / x for _, x, s, _ in rows for k in range(3)]
+    best = min(objective(t) for t in [-5.0, 5.0, *[k for k in kinks if abs(k) < 5]])
+    box = Parameters({"taste": (-5.0, 5.0, 1)})
+    for form in (NSLACK, ONESLACK, BLOCKSLACK):
+        f = estimate(Model(Quantity(), box, form), data, tolerance=1e-8, u_lower=None if form != NSLACK else 0.0)
+        assert f.converged and f.objective == pytest.approx(best, abs=1e-5), form
+
+
+def test_bootstrap_controls(spark):
+    data, _ = toy(spark)
+    asked, told = [], []
+
+    class Counting(cuts.MostViolated):
+        def admit(self, candidates):
+            asked.append(1)
+            return super().admit(candidates)
+
+    a = bootstrap(Model(Modular(4), BOX), data, 2, seed=2, tolerance=1e-8, policy=Counting(k=6), keep_fits=True, on_replication=lambda b, f: told.append((b, f.objective)))
+    b = bootstrap(Model(Modular(4), BOX), data, 2, seed=2, tolerance=1e-8, keep_fits=True)
+    assert asked and [f.objective for f in a.fits] == pytest.approx([f.objective for f in b.fits], abs=1e-6)
+    assert told == [(i, f.objective) for i, f in enumerate(a.fits)]
+    with pytest.raises(ValueError):
+        bootstrap(Model(Modular(4), BOX), data, 2, schedule=schedules.RoundRobin(2))
+    with pytest.raises(ValueError):
+        bootstrap(Model(Modular(4), BOX), data, 2, policy=cuts.SlackStrip(50.0, 3))
+
+
+def test_retirement_reaches_block_cuts(spark):
+    data, _ = toy(spark)
+    plain = estimate(Model(Modular(4), BOX, BLOCKSLACK, 4), data, tolerance=1e-8)
+    f = estimate(Model(Modular(4), BOX, BLOCKSLACK, 4), data, tolerance=1e-8, policy=cuts.SlackStrip(99.0, 12), max_iterations=60)
+    assert max(t["retired"] for t in f.trace) > 0 and f.n_active_cuts < plain.n_active_cuts
+    with pytest.raises(ValueError):
+        estimate(Model(Modular(4), BOX, BLOCKSLACK, 4), data, policy=cuts.SlackStrip(99.0, 7))
+
+
+def test_a_failing_sink_is_called_once(spark):
+    data, _ = toy(spark)
+    calls = []
+
+    def sink(event):
+        calls.append(event)
+        raise RuntimeError("no")
+
+    assert estimate(Model(Modular(4), BOX), data, tolerance=1e-8, on_event=sink).converged and len(calls) == 1
+
+
+def test_summaries_need_replications():
+    r = BootstrapResult(np.zeros((2, 1)), np.array([True, False]), Parameters({"a": (0.0, 1.0, 1)}))
+    with pytest.warns(UserWarning), pytest.raises(ValueError):
+        r.se()
+    with pytest.warns(UserWarning):
+        assert r.mean().tolist() == [0.0]

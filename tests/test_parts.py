@@ -26,14 +26,16 @@ def test_layout():
             Parameters(bad)
 
 
-def test_bundle_keys():
-    for b in (np.array([True, False]), np.array([0.5, 1.0]), np.arange(6).reshape(2, 3)):
-        assert np.array_equal(bundles.unpack(bundles.pack(b)), b)
-    old = b"<f8:" + np.array([1.0, 2.0]).tobytes()
-    assert bundles.canonical(old) == bundles.pack(np.array([1.0, 2.0])) and bundles.canonical(b"opaque") == b"opaque"
-    for bad in (b"CB1", bundles.pack(np.ones(3))[:-1], b"opaque"):
-        with pytest.raises(ValueError):
-            bundles.unpack(bad)
+def test_bundle_keys(spark):
+    sets = [[0.0, 1.0], [1.0, 0.0], [0.0, 2.0], [0.0, 3.0], [0.5, -1.0], [0.5, 1.0], [1e-5, 1e17], [0.1 + 0.2, 0.3], [0.3, 0.3], [2.0, 0.0, 1.0]]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, bundle array<double>").select("i", bundles.sql_key(F.col("bundle")).alias("k")).collect()
+    keys = {r["i"]: bytes(r["k"]) for r in rows}
+    assert keys[0] == b"01" and len(set(keys.values())) == len(sets)
+    assert all(bundles.values(keys[i]).tolist() == s for i, s in enumerate(sets))
+    zero = spark.createDataFrame([([-0.0, 1.0],), ([0.0, 1.0],)], "bundle array<double>").select(bundles.sql_key(F.col("bundle"))).distinct().count()
+    assert zero == 1
+    with pytest.raises(ValueError):
+        bundles.values(bundles.aggregate_key([1.0, 2.0], 3.0))
 
 
 def splitmix(x):
