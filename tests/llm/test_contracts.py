@@ -140,3 +140,6 @@ def test_order_of_rules_changes_no_verdict(spark, sf):
     order = quality_rules.order_rules(docs)
     gains = [share / max(cost, 1e-9) for _, share, cost in order]
     assert len(order) == len(quality_rules.RULES) and gains == sorted(gains, reverse=True)
+    assert order == quality_rules.order_rules(docs)  # costs are counts, not times
+    lazy = {r["doc_id"]: r["failed_rule"] is None for r in quality_rules.verdicts(docs).collect()}
+    assert lazy == {d: v[0] if isinstance(v, tuple) else v for d, v in a.items()}
