@@ -7,7 +7,8 @@ read in parallel; statistics of stripes and row groups and the Bloom filters let
 :func:`lookup` skip what can't hold an id.
 
 Null or empty text: the end id alone.  Repeated ``doc_id``: a row each, next to
-each other.  An empty table: an empty folder, read back as no rows.
+each other in order of their texts, so that reruns agree.  Very long texts are one row.  Other columns play no part.  One task writes one
+file: ``maxRecordsPerFile`` is set to 0 here, since ``local_start`` counts within a file.  An empty table: an empty folder, read back as no rows.
 """
 
 from __future__ import annotations
@@ -44,10 +45,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, keep_
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(before + ends - per), pa.array(per), lists], ["doc_id", "local_start", "n_tokens", "ids"])
             before += int(ends[-1])
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         dealt.mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")
+        .option("maxRecordsPerFile", 0)
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", INDEX_STRIDE)

@@ -2,13 +2,15 @@
 
 A rule names a host and the beginning of a path; it holds for the host and all its subdomains, and the
 longest rule that holds decides.  URLs that a rule decides are the labelled ones; trees learn from
-their lexical form (length, depth, share of digits, entropy, parameter counts, statistics of the host's
-suffix) and decide the rest.  Statistics of suffixes are taken over all URLs, by the exact suffix, and joined back; they
-are broadcast only up to a counted bound.  Trees are fitted on the driver on at most ``TRAIN_ROWS`` labelled URLs, a sample by
-hash when there are more.
-
-Null URL or none with ``://``: host and path are empty, no rule holds and the trees decide.  Repeated rows: a
-row each.  Without both kinds of labels every other URL is allowed.
+their lexical form (length, depth, share of digits, entropy, parameter counts, statistics of both its ends: the suffix of the host
+and the first segment of the path) and decide the rest.  Statistics are taken over all URLs, by the exact suffix or segment, and joined back; they
+are broadcast only up to a counted bound.  A labelled URL's own share of blocked ones comes from other folds than its own, and trees
+see each example also as if its suffix, or its segment, had no labels, which is what most URLs they decide look like.  Trees are fitted on the
+driver on at most ``TRAIN_ROWS`` labelled URLs, a sample by hash when there are more.
+
+Null URL or none with ``://``: host and path are empty, no rule holds and the trees decide.  Repeated rows (and rows without an id): a
+row each.  Very long URLs are read whole.  Ties: of rules of one length the later in the list wins; a score of 0.5 blocks.  Without both kinds of
+labels every other URL is allowed.  An empty table: no rows.  Other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, kept, maybe_broadcast
+from .common import UPPER, Scratch, maybe_broadcast, stored
 
 TRAIN_ROWS = 50_000
 TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.2, 32, 5
 SEED = 5
-FEATURES = ("url", "host", "path", "common", "share")
+FEATURES = ("url", "host", "path", "common", "share", "seg_common", "seg_share")
+FOLDS, PRIOR = 5, 10
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,11 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
+def segment(path: Column) -> Column:
+    """The first segment of a path."""
+    return F.regexp_extract(path, r"^/([^/]*)", 1)
+
+
 def lexical(url: str, host: str, path: str) -> list[float]:
     """Lexical features of one URL; those of its suffix are added by the caller."""
     query = url.partition("?")[2].partition("#")[0]
@@ -83,7 +91,9 @@ class Trees:
         self.base, self.trees = 0.0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        # Thresholds lie between values, so that rounding of a value never changes its side.
+        seen = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1), method="nearest")) for c in x.T]
+        edges = [(c[:-1] + c[1:]) / 2 for c in seen]
         binned = np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)])
         share = np.clip(y.mean(), 0.01, 0.99)
         self.base = math.log(share / (1 - share))
@@ -93,7 +103,7 @@ class Trees:
             g, h = y - p, p * (1 - p)
             node, splits = np.zeros(len(y), int), []
             for depth in range(DEPTH):
-                level = []
+                level, below = [], np.zeros(len(y), int)
                 for k in range(1 << depth):
                     own = np.flatnonzero(node == k)
                     best = (1e-6, -1, 0.0, 0)
@@ -107,7 +117,8 @@ class Trees:
                             if gain[i := int(gain.argmax())] > best[0]:
                                 best = (float(gain[i]), f, float(e[i]), i)
                     level.append((best[1], best[2]))
-                    node[own] = 2 * k + ((binned[own, best[1]] > best[3]) if best[1] >= 0 else 0)
+                    below[own] = 2 * k + ((binned[own, best[1]] > best[3]) if best[1] >= 0 else 0)
+                node = below
                 splits.append(level)
             leaves = np.array([RATE * g[node == k].sum() / (h[node == k].sum() + 1) for k in range(1 << DEPTH)])
             self.trees.append((splits, leaves))
@@ -126,31 +137,55 @@ class Trees:
         return 1 / (1 + np.exp(-z))
 
 
-def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """page_id, host, path, rule, verdict and block_score for every row of ``pages`` (page_id, url)."""
+def _with_share(p: DataFrame, by: str, rate: float, common: str, share: str, into: Scratch) -> DataFrame:
+    """How common a row's value of ``by`` is, and the share of labelled URLs of that value that are blocked, without the row's own fold."""
+    hit = F.col("label").cast("int")
+    per_fold = [a for f in range(FOLDS) for a in (F.count_if(F.col("label").isNotNull() & (F.col("fold") == f)).alias(f"k{f}"), F.coalesce(F.sum(F.when(F.col("fold") == f, hit)), F.lit(0)).alias(f"s{f}"))]
+    stats = into.kept(p.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *per_fold))
+    k, s = (F.array(*[F.col(f"{x}{f}") for f in range(FOLDS)]) for x in ("k", "s"))
+    stats = stats.select(by, F.log1p("n").alias(common), k.alias("ks"), s.alias("ss"))
+    p = p.join(maybe_broadcast(stats, stats.count()), by)
+
+    def others(c: str) -> Column:
+        return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) - F.when(F.col("label").isNotNull(), F.get(c, F.col("fold"))).otherwise(F.lit(0))
+
+    return p.withColumn(share, (others("ss") + PRIOR * rate) / (others("ks") + PRIOR)).drop("ks", "ss")
+
+
+def judge(pages: DataFrame, rules: list[Rule], learn: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and block_score for every row of ``pages`` (page_id, url). ``learn``: rows whose labels may be learned from (all)."""
+    with Scratch(pages.sparkSession) as scratch:
+        return stored(_judged(pages, rules, F.lit(True) if learn is None else learn, scratch), "url-verdicts")
+
+
+def _judged(pages: DataFrame, rules: list[Rule], learn: Column, scratch: Scratch) -> DataFrame:
     host, path = parts(F.col("url"))
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"), learn.alias("learn"))
     name, block = ruled(F.col("host"), F.col("path"), rules)
-    p = p.withColumn("rule", name).withColumn("block", block).withColumn("suffix", suffix(F.col("host")))
-    # How common a suffix is, and the share of labelled URLs of it that are blocked.
-    stats = kept(p.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("block").alias("k"), F.coalesce(F.sum(F.col("block").cast("int")), F.lit(0)).alias("s")))
-    whole = stats.agg(F.count(F.lit(1)).alias("suffixes"), F.sum("k").alias("k"), F.sum("s").alias("s")).first()
+    p = p.withColumn("rule", name).withColumn("block", block).withColumn("label", F.when(F.col("learn"), F.col("block"))).withColumn("suffix", suffix(F.col("host"))).withColumn("segment", segment(F.col("path")))
+    p = p.withColumn("fold", F.pmod(F.xxhash64("url", "page_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
+    whole = p.agg(F.count("label").alias("k"), F.sum(F.col("label").cast("int")).alias("s")).first()
     known = whole["k"] or 0
     rate = (whole["s"] or 0) / max(1, known)
-    stats = stats.select("suffix", F.log1p("n").alias("common"), ((F.col("s") + 10 * rate) / (F.col("k") + 10)).alias("share"))
-    p = p.join(maybe_broadcast(stats, whole["suffixes"]), "suffix")
+    p = _with_share(p, "suffix", rate, "common", "share", scratch)
+    p = _with_share(p, "segment", rate, "seg_common", "seg_share", scratch)
 
-    def features(urls: list, hosts: list, paths: list, common: list, share: list) -> np.ndarray:
-        return np.column_stack([np.array([lexical(*x) for x in zip(urls, hosts, paths, strict=True)], float), common, share])
+    def features(urls: list, hosts: list, paths: list, *ends: list) -> np.ndarray:
+        return np.column_stack([np.array([lexical(*x) for x in zip(urls, hosts, paths, strict=True)], float), *ends])
 
     trees = None
     if 0 < rate < 1:
-        some = p.where("block is not null")
+        some = p.where("label is not null")
         if known > TRAIN_ROWS:
             some = some.where(F.pmod(F.xxhash64("url", "page_id", F.lit(SEED)), F.lit(1 << 20)) < int((1 << 20) * TRAIN_ROWS / known))
-        rows = some.select(*FEATURES, "block").orderBy("url").collect()
-        if rows and len({r["block"] for r in rows}) == 2:
-            trees = Trees().fit(features(*([r[c] for r in rows] for c in FEATURES)), np.array([r["block"] for r in rows], float))
+        rows = some.select(*FEATURES, "label").orderBy("url").collect()
+        if rows and len({r["label"] for r in rows}) == 2:
+            x, y = features(*([r[c] for r in rows] for c in FEATURES)), np.array([r["label"] for r in rows], float)
+            unlabelled = [x.copy(), x.copy()]
+            mix = np.random.default_rng(SEED)
+            for part, end in zip(unlabelled, (-4, -2), strict=True):  # suffix, segment: how common it is tells nothing here, the share is the prior
+                part[:, end], part[:, end + 1] = mix.permutation(x[:, end]), rate
+            trees = Trees().fit(np.concatenate([x, *unlabelled]), np.tile(y, 3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

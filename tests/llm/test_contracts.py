@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from choicefold.llm import queries as q
-from choicefold.llm import quality_rules
+from choicefold.llm import quality_rules, url_filter
 
 from . import brute
 
@@ -143,3 +143,14 @@ def test_order_of_rules_changes_no_verdict(spark, sf):
     assert order == quality_rules.order_rules(docs)  # costs are counts, not times
     lazy = {r["doc_id"]: r["failed_rule"] is None for r in quality_rules.verdicts(docs).collect()}
     assert lazy == {d: v[0] if isinstance(v, tuple) else v for d, v in a.items()}
+
+
+def test_trees_on_urls_they_have_not_seen(spark):
+    """Labels of a quarter of the pages are held out: scores tell them apart, and URLs without a rule don't all get one verdict."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    got = url_filter.judge(pages, q.URL_RULES, learn=F.col("page_id") % 4 != 0).collect()
+    ruled = [r for r in got if r["rule"] is not None and r["page_id"] % 4 == 0]
+    right = sum((r["block_score"] >= 0.5) == (r["verdict"] == "block") for r in ruled)
+    assert len(ruled) > 100 and right >= 0.9 * len(ruled)
+    free = [r["verdict"] for r in got if r["rule"] is None]
+    assert 0.05 * len(free) < free.count("allow") < 0.95 * len(free)
