@@ -10,15 +10,15 @@ document for certain.  The rest, a share p of its words, is sampled without repl
 uniform number u (of its id, so reruns agree) and the rank [u/(1-u)] / [o p/(1-p)], the ratio of random odds to
 inclusion odds, where o is the square root of its size over its source's mean, unless the caller gives other ``odds``.  The least ranks
 are taken while they fit the target, and then each later one, in order of rank, that still fits, until none does.  What
-then is missing is less than any document left; one more copy of the document whose size comes nearest to it is
-taken, if that brings the source nearer to its target and the document has fewer than ``CAP`` copies.
+then is missing is less than any document left; one more copy is taken of the largest document that fits and
+has fewer than ``CAP`` copies.  A source never takes more than its target.
 
 A source's cut-off is found from sums over rank buckets and then from the rows of one
 bucket, so no task holds a whole source.  What is then missing is filled in rounds: the next FILL
 documents that fit, one by one, then the cut-off again over the later ones that are no larger than what is still
 missing.
 
-Documents with one id are taken or left together; ties of rank go by id, ties of the last choice to the smaller id.  Null text has
+Documents with one id are taken or left together; ties of rank go by id, ties of the last copy to the smaller id.  Null text has
 size 0; texts without words are never taken for the sampled share.  Null sources are one source, the last.  Very long texts are read
 once, to count their words.  An empty table gives no rows.  Other columns are passed on, whatever their names.
 """
@@ -132,16 +132,15 @@ def _filled(ranked: DataFrame, cut: DataFrame, n_sources: int, into: Scratch) ->
 
 
 def _last(sizes: DataFrame, cut: DataFrame, filled: DataFrame, n_sources: int, n_filled: int) -> DataFrame:
-    """At most one document of each source (``_mx_sn``, ``_mx_s``, ``_mx_last_id``) of which one more copy brings the source nearer to its target."""
+    """At most one document of each source (``_mx_sn``, ``_mx_s``, ``_mx_last_id``) of which one more copy fits the source's target: the largest, ties to the smaller id."""
     d = sizes.join(maybe_broadcast(cut, n_sources), (F.col("s_null") == F.col("_mx_sn")) & (F.col("s") == F.col("_mx_s"))).withColumn("_mx_k", _key("r", "id"))
     d = d.join(maybe_broadcast(filled.withColumn("fill", F.lit(True)), n_filled), ["_mx_sn", "_mx_s", "_mx_k"], "left")
     extra = (_taken(F.col("b"), F.col("_mx_k")) | F.col("fill").isNotNull()) & (F.col("size") > 0)
     d = d.select("_mx_sn", "_mx_s", "_mx_target", F.col("_mx_k.id").alias("id"), "size", (F.col("_mx_whole") + extra.cast("int")).alias("copies"))
     short = d.groupBy("_mx_sn", "_mx_s").agg((F.first("_mx_target") - F.sum(F.col("size") * F.col("copies"))).alias("short"))
-    # Only documents smaller than twice of what is missing can be the one.
-    some = d.where((F.col("copies") < CAP) & (F.col("size") > 0)).join(maybe_broadcast(short, n_sources), ["_mx_sn", "_mx_s"]).where("size < 2 * short")
-    some = some.groupBy("_mx_sn", "_mx_s", "id").agg(F.sum("size").alias("size"), F.first("short").alias("short")).withColumn("off", F.abs(F.col("short") - F.col("size")))
-    best = some.where("off < short").groupBy("_mx_sn", "_mx_s").agg(F.min(F.struct("off", "id")).alias("x"))
+    some = d.where((F.col("copies") < CAP) & (F.col("size") > 0)).join(maybe_broadcast(short, n_sources), ["_mx_sn", "_mx_s"]).where("size <= short")
+    some = some.groupBy("_mx_sn", "_mx_s", "id").agg(F.sum("size").alias("size"), F.first("short").alias("short")).where("size <= short")
+    best = some.groupBy("_mx_sn", "_mx_s").agg(F.min(F.struct((-F.col("size")).alias("size"), "id")).alias("x"))
     return best.select("_mx_sn", "_mx_s", F.col("x.id").alias("_mx_last_id"))
 
 

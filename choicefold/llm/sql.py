@@ -32,8 +32,8 @@ fold as (select source, list_reduce(list_prepend({{'g': gap::double, 'z': 0.0::d
 added as (select unnest(f.a) doc_id from fold),
 held as (select c.*, whole + case when size = 0 then 0 when taken_ or a.doc_id is not null then 1 else 0 end copies from cut c left join added a on a.doc_id = c.doc_id),
 short as (select source, any_value(target) - sum(size * copies)::bigint short from held group by source),
-last_ as (select doc_id from (select doc_id, row_number() over (partition by h.source order by abs(short - size), doc_id) k from held h join short s on h.source is not distinct from s.source
-  where copies < {mixing.CAP} and size > 0 and abs(short - size) < short) where k = 1)
+last_ as (select doc_id from (select doc_id, row_number() over (partition by h.source order by size desc, doc_id) k from held h join short s on h.source is not distinct from s.source
+  where copies < {mixing.CAP} and size > 0 and size <= short) where k = 1)
 select h.doc_id, size, source_size, target, size * (copies + case when l.doc_id is not null then 1 else 0 end) taken from held h left join last_ l on l.doc_id = h.doc_id
 """
 
