@@ -79,15 +79,17 @@ def _wave(p: Problem, config: LoopConfig, source, reps: list[int], warm: list[Cu
     for m in masters.values():
         m.reinstall(CutRow(r.rep_id, r.agent_id, r.phi, r.epsilon, r.bundle_key) for r in warm)
     retire = {b: Retirement(config.policy) for b in reps}
-    live = list(reps)
+    live, trial = list(reps), {}
     try:
         for it in range(config.max_iterations):
-            floor = config.min_iterations
+            floor = config.floor
             if config.callback is not None:
                 floor = max(floor, config.callback(it, p.model.oracle) or 0)
+            penalised = False
             for b in live:
-                masters[b].solve()
-            each = F.explode(F.array(*[F.struct(F.lit(b).alias("rep_id"), literal(masters[b].theta()).alias("theta"), F.lit(at[b]).alias("i")) for b in live]))
+                penalised = config.penalise(masters[b], it, trial.get(b))
+                trial[b] = masters[b].theta()
+            each = F.explode(F.array(*[F.struct(F.lit(b).alias("rep_id"), literal(trial[b]).alias("theta"), F.lit(at[b]).alias("i")) for b in live]))
             d = p.priced(agents.withColumn("_r", each).select("*", F.col("_r.rep_id").alias("rep_id")), F.col("_r.theta"))
             over_by: dict[int, list[float]] = {b: [] for b in live}
             if nslack:
@@ -116,7 +118,7 @@ def _wave(p: Problem, config: LoopConfig, source, reps: list[int], warm: list[Cu
                 rows.sort(key=lambda r: (r["rep_id"], r["block"]))
                 found, worst = {b: [] for b in live}, dict.fromkeys(live, 0.0)
                 for r in rows:
-                    b, t = r["rep_id"], masters[r["rep_id"]].theta()
+                    b, t = r["rep_id"], trial[r["rep_id"]]
                     over = float(np.dot(r["phi"], t)) + r["epsilon"] - masters[b].u_values().get(r["block"], 0.0)
                     worst[b] += over
                     if over > config.tolerance / blocks:
@@ -125,12 +127,13 @@ def _wave(p: Problem, config: LoopConfig, source, reps: list[int], warm: list[Cu
                     total = total.plus(Certification(r["n_priced"], r["n_inexact"], r["worst_gap"]))
             for b in list(live):
                 hit = worst[b] <= config.tolerance
-                gone = [] if hit and it + 1 >= floor else retire[b].keys(spark, masters[b], it)
+                may_end = it + 1 >= floor and not penalised
+                gone = [] if hit and may_end else retire[b].keys(spark, masters[b], it)
                 if gone:
                     masters[b].remove_cuts(gone)
                 new = masters[b].add_cuts(admitted(spark, config.policy, found[b], over_by[b]))
                 iterations[b] = it + 1
-                if it + 1 >= floor and (hit or (not new and not gone)):
+                if may_end and (hit or (not new and not gone)):
                     converged[b] = hit
                     live.remove(b)
                     tell(config, {"event": "bootstrap replication", "rep_id": b, "converged": bool(hit), "iterations": it + 1})
@@ -141,6 +144,7 @@ def _wave(p: Problem, config: LoopConfig, source, reps: list[int], warm: list[Cu
         agents.unpersist()
     for b in reps:
         m = masters[b]
+        m.set_penalty(None, 0.0)
         thetas[b] = m.theta()
         if fits is None and on_replication is None:
             continue

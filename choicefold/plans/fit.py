@@ -71,7 +71,12 @@ class LoopConfig:
     tolerance: float = 1e-6
     max_iterations: int = 1000
     min_iterations: int = 0
+    #: Proximal term ``qp_weight |theta - ref|^2`` of the first ``qp_iterations`` programs after the first; ``ref`` is ``anchor``
+    #: (None: zeros) throughout if ``penalty_ref`` is "static", the theta priced last if it is "dynamic".
     qp_weight: float = 0.0
+    qp_iterations: int = 0
+    penalty_ref: str = "static"
+    anchor: np.ndarray | None = None
     schedule: RepricingSchedule = field(default_factory=ResolveAll)
     policy: cx.CutPolicy = field(default_factory=cx.AddAll)
     callback: Callable[[int, object], int | None] | None = None
@@ -79,13 +84,33 @@ class LoopConfig:
     _silent: list[Exception] = field(default_factory=list, compare=False, repr=False)
 
     def __post_init__(self):
-        for v, name in ((self.max_iterations, "max_iterations"), (self.min_iterations, "min_iterations")):
+        for v, name in ((self.max_iterations, "max_iterations"), (self.min_iterations, "min_iterations"), (self.qp_iterations, "qp_iterations")):
             if isinstance(v, bool) or int(v) != v or v < 0:
                 raise ValueError(f"{name} must be an integer of at least 0")
         if not self.tolerance >= 0 or self.max_iterations < max(1, self.min_iterations):
             raise ValueError("tolerance must be at least 0 and max_iterations at least 1 and min_iterations")
-        if self.qp_weight:
-            raise NotImplementedError("the built-in master solves linear programs only")
+        if isinstance(self.qp_weight, bool) or not 0 <= self.qp_weight < np.inf:
+            raise ValueError("qp_weight must be a finite number of at least 0")
+        if self.qp_weight and not self.qp_iterations:
+            raise ValueError("a penalty must end: qp_weight needs qp_iterations of at least 1")
+        if self.penalty_ref not in ("static", "dynamic"):
+            raise ValueError(f"penalty_ref must be static or dynamic, not {self.penalty_ref!r}")
+
+    @property
+    def floor(self) -> int:
+        """Iterations that every fit makes: those with a penalty, and one without."""
+        return max(self.min_iterations, self.qp_iterations + 1 if self.qp_weight else 0)
+
+    def penalise(self, master: Master, iteration: int, priced: np.ndarray | None) -> bool:
+        """Puts the penalty of an iteration on its master (``priced``: theta of the iteration before), or takes it off; whether there is one."""
+        if not self.qp_weight:
+            return False
+        if not 1 <= iteration <= self.qp_iterations:
+            master.set_penalty(None, 0.0)
+            return False
+        ref = priced if self.penalty_ref == "dynamic" else np.zeros(master.K) if self.anchor is None else self.anchor
+        master.set_penalty(ref, self.qp_weight)
+        return True
 
 
 def tell(config: LoopConfig, event: dict) -> None:
@@ -171,7 +196,8 @@ class Retirement:
         read = master.cut_readings()
         # A cut that is not installed now is forgotten: should it come back, it starts anew.
         self.log = [{k: v for k, v in past.items() if k in read.dual} for past in self.log]
-        self.log.append({k: (read.dual[k], read.slack[k]) for k in read.dual})
+        # Multipliers of a penalised program are no duals of the linear one.
+        self.log.append({k: (None if master.penalty else read.dual[k], read.slack[k]) for k in read.dual})
         rows, now = [], self.log[-1]
         deep = self.log if "dual" in self.policy.needs else self.log[-1:]
         for i, past in enumerate(deep):
@@ -194,17 +220,18 @@ def run_fit(p: Problem, config: LoopConfig, warm_cuts: Iterable[CutRow] = (), ma
     config.policy.check_size(p.K, p.n * p.S if nslack else blocks)
     retire, last, force_full, converged = Retirement(config.policy), None, False, False
     tell(config, {"event": "start", "n_agents": p.n * p.S, "K": p.K})
-    it = 0
+    it, coming = 0, config.penalise(master, 0, None)
     for it in range(config.max_iterations):  # noqa: B007
-        floor = config.min_iterations
+        floor = config.floor
         if config.callback is not None:
             asked = config.callback(it, p.model.oracle)
             floor = max(floor, asked or 0)
+        penalised = coming
         master.solve()
         theta, full = master.theta(), True
         if nslack:
             agents = p.agents
-            if not config.schedule.full and not force_full:
+            if not config.schedule.full and not force_full and not penalised:
                 duals = None
                 if config.schedule.needs_duals and it:
                     found = [(a, pi) for (a, _), pi in master.dual_values().items()]
@@ -228,20 +255,22 @@ def run_fit(p: Problem, config: LoopConfig, warm_cuts: Iterable[CutRow] = (), ma
             admit = [r for r, v in zip(admit, raw, strict=True) if v > config.tolerance / max(1, blocks) or first]
         total = total.plus(tally)
         hit = worst <= config.tolerance
-        done = hit and full and it + 1 >= floor
+        done = hit and full and it + 1 >= floor and not penalised
         gone = [] if done else retire.keys(p.spark, master, it)
         if gone:
             master.remove_cuts(gone)
         new = master.add_cuts(admit)
-        trace.append({"iteration": it, "gap": worst, "n_priced": tally.n_priced, "added": new, "retired": len(gone), "n_cuts": master.n_active_cuts, "objective": master.objective()})
+        coming = config.penalise(master, it + 1, theta)
+        trace.append({"iteration": it, "gap": worst, "n_priced": tally.n_priced, "added": new, "retired": len(gone), "n_cuts": master.n_active_cuts, "objective": master.objective(), "penalty": master.penalty})
         tell(config, {"event": "iteration", **trace[-1]})
         force_full = hit and not full
         if done:
             converged = True
             break
-        if full and not new and not gone and it + 1 >= floor:
+        if full and not new and not gone and it + 1 >= floor and not penalised:
             converged = hit
             break
+    master.set_penalty(None, 0.0)
     master.solve()
     keep = Publication(publish)
     slack = master.u_values() if nslack and keep & Publication.SLACK else None

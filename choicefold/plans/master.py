@@ -2,7 +2,8 @@
 
 Slacks are taken out: what all agents' cuts are worth at theta is one convex function, so a linear program in theta and one total is
 solved with tangents of it until value and tangents agree.  A tangent is the sum of each agent's highest cut there, so
-its multiplier spreads over those cuts, which gives the dual of every installed cut.
+its multiplier spreads over those cuts, which gives the dual of every installed cut.  A proximal penalty makes the program
+of theta and total a quadratic one over the same tangents; its multipliers are those of the penalised program.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from .lp import GrowingLP
+from .proximal import proximal
 
 AGREE = 1e-11
 KEEP_TANGENTS = 1500
@@ -63,6 +65,7 @@ class Master:
         self.known: set[tuple[int, bytes]] = set()
         self._dirty, self._lp = True, None
         self._theta, self._total = np.where(c >= 0, lower, upper), 0.0
+        self._ref, self._penalty, self._reduced = np.zeros(self.K), 0.0, {}
 
     # -- cuts ---------------------------------------------------------------------------------------------------------
 
@@ -110,9 +113,23 @@ class Master:
         self._lp = None
         self._arrays()
 
+    @property
+    def penalty(self) -> float:
+        """Weight of the proximal term that the next solve has; 0 for a linear program."""
+        return self._penalty
+
     def set_penalty(self, ref, weight: float) -> None:
-        if weight > 0:
-            raise NotImplementedError("this master solves linear programs only; a proximal penalty needs a quadratic one")
+        """Adds ``weight |theta - ref|^2`` to the objective in place of any such term; a weight of 0 or less takes it out."""
+        if not np.isfinite(weight):
+            raise ValueError(f"weight {weight} of a penalty must be finite")
+        if weight <= 0:
+            self._dirty, self._penalty = self._dirty or self._penalty > 0, 0.0
+            return
+        ref = np.array(ref, float)
+        if ref.shape != (self.K,) or not np.isfinite(ref).all():
+            raise ValueError(f"a penalty needs {self.K} finite reference values")
+        if weight != self._penalty or not np.array_equal(ref, self._ref):
+            self._ref, self._penalty, self._dirty = ref, float(weight), True
 
     def _arrays(self) -> None:
         ids = np.array([r.agent_id for r in self.rows], np.int64)
@@ -149,6 +166,9 @@ class Master:
         if not self._dirty:
             return
         self._dirty = False
+        if self._penalty:
+            self._solve_penalised()
+            return
         if not self.rows:
             self._theta, self._total = np.where(self.c >= 0, self.lower, self.upper), 0.0
             self._lp = None
@@ -194,6 +214,39 @@ class Master:
                 own = on >= 0
                 np.add.at(self._pi, on[own], m * self.w[own])
 
+    def _solve_penalised(self) -> None:
+        ref, weight, self._lp = self._ref, self._penalty, None
+        x = np.clip(self._theta, self.lower, self.upper)
+        if not self.rows:
+            slope = self.c + 2 * weight * (np.clip(ref - self.c / (2 * weight), self.lower, self.upper) - ref)
+            self._theta, self._total = np.clip(ref - self.c / (2 * weight), self.lower, self.upper), 0.0
+            self._reduced = dict(enumerate(np.where((self._theta > self.lower) & (self._theta < self.upper), 0.0, slope).tolist()))
+            return
+        g, h, on, before = np.zeros((0, self.K)), np.zeros(0), [], None
+        u, at = self._highest(x)
+        for _ in range(20_000):
+            if before is not None and float(self.w @ u) - total <= AGREE * max(1.0, abs(total)):
+                break
+            a, b = self._tangent(at)
+            g, h, on = np.vstack([g, a]), np.append(h, b), [*on, at]
+            x, total, share, cost = proximal(self.c, self.lower, self.upper, g, h, ref, weight, x)
+            if before is not None and np.array_equal(before, x):
+                break  # the last tangent was within the program's own precision
+            before = x.copy()
+            u, at = self._highest(x)
+            if len(on) > KEEP_TANGENTS:
+                used = share > 0
+                g, h, share, on = g[used], h[used], share[used], [o for o, k in zip(on, used, strict=True) if k]
+        else:
+            raise ArithmeticError("tangents don't meet the value")
+        self._theta, self._total = x, float(self.w @ self._highest(x)[0])
+        self._reduced = dict(enumerate(cost.tolist()))
+        self._pi = np.zeros(len(self.rows))
+        for m, chosen in zip(share, on, strict=True):
+            if m > 0:
+                own = chosen >= 0
+                np.add.at(self._pi, chosen[own], m * self.w[own])
+
     def _added(self, theta: np.ndarray, at: np.ndarray | None = None) -> None:
         at = self._highest(theta)[1] if at is None else at
         g, h = self._tangent(at)
@@ -208,7 +261,7 @@ class Master:
 
     def objective(self) -> float:
         self.solve()
-        return float(self.c @ self._theta) + self._total
+        return float(self.c @ self._theta) + self._total + self._penalty * float(((self._theta - self._ref) ** 2).sum())
 
     def u_values(self) -> dict[int, float]:
         """u of the agents that have cuts."""
@@ -232,6 +285,8 @@ class Master:
     def bound_duals(self) -> dict[int, float]:
         """Reduced costs of theta at a bound, those that aren't zero."""
         self.solve()
+        if self._penalty:
+            return {k: v for k, v in self._reduced.items() if abs(v) > 1e-12}
         if self._lp is None:
             return {k: float(v) for k, v in enumerate(self.c) if v}
         return {k: v for k, v in sorted(self._lp.bound_duals().items()) if k < self.K and abs(v) > 1e-12}

@@ -510,10 +510,10 @@ def concat_replications(spark, d):
     return replications.concatenated([b, b]).select("rep_id", item("theta", 0).alias("t0"))
 
 
-def _steps() -> str:
-    """Weights of three replications: three keyed scrambling steps in 128-bit arithmetic, one select each."""
+def _steps(reps: int = 3) -> str:
+    """Weights of replications: three keyed scrambling steps in 128-bit arithmetic, one select each."""
     m, last = "18446744073709551616::uhugeint", "s0"
-    out = [f"s0 as (select c_custkey o, r, {draws.NAMESPACE}::uhugeint x from customer, (select unnest([0,1,2]) r))"]
+    out = [f"s0 as (select c_custkey o, r, {draws.NAMESPACE}::uhugeint x from customer, (select unnest({list(range(reps))}) r))"]
     for i, key in enumerate(("5::uhugeint", "r::uhugeint", "o::uhugeint"), 1):
         out.append(f"a{i} as (select o, r, (xor(x, {key}) + {draws.INCREMENT}::uhugeint) % {m} z from {last})")
         out.append(f"b{i} as (select o, r, (xor(z, z >> 30) * {draws.MULTIPLIERS[0]}::uhugeint) % {m} z from a{i})")
@@ -529,7 +529,8 @@ def bootstrap_weights(spark, d):
     return draws.observation_weights(_obs(spark, d).select("obs_id"), range(3), 5).select(F.col("rep_id").cast("int").alias("rep_id"), "obs_id", F.round("w", 9).alias("w"))
 
 
-@query(None)
+@query(_steps(4).replace("with ", f"with {ITEMS}, ", 1).rsplit(" select ", 1)[0] + """, share as (select r rep_id, o, e * count(*) over (partition by r) / sum(e) over (partition by r) w from draw)
+ select rep_id, (k-1)::int pos, round(-sum(w*i.r*i.b),6) c from share join items i on i.a=o group by rep_id, k""")
 def bootstrap_objectives(spark, d):
     o = _obs(spark, d)
     w = draws.observation_weights(o.select("obs_id"), range(4), 5)
@@ -565,6 +566,13 @@ def fit_round_robin(spark, d):
     return modular_fit(spark, d, fit.NSLACK, schedule=schedules.RoundRobin(3)).to_df(spark).select(F.round("objective", 6).alias("objective"), "converged")
 
 
+@query(_CLOSED + " select round(sum(m),6) objective, true converged from (select k, min(v) m from v group by k)")
+def fit_penalised(spark, d):
+    """The first programs hold theta near the one before; the last ones are linear, so the objective is that of any other fit."""
+    r = modular_fit(spark, d, fit.BLOCKSLACK, qp_weight=0.5, qp_iterations=5, penalty_ref="dynamic")
+    return r.to_df(spark).select(F.round("objective", 6).alias("objective"), "converged")
+
+
 @query(None)
 def fit_enumerated_kkt(spark, d):
     """Largest violation of the optimality conditions of a bundle fit: all close to 0."""

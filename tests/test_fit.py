@@ -141,11 +141,9 @@ def test_persistent_refit_equals_a_new_fit(spark):
 
 def test_controls_are_checked(spark):
     data, _ = toy(spark)
-    for bad in ({"max_iterations": 0}, {"tolerance": -1.0}, {"min_iterations": True}):
+    for bad in ({"max_iterations": 0}, {"tolerance": -1.0}, {"min_iterations": True}, {"qp_weight": 1.0}, {"qp_weight": np.inf, "qp_iterations": 2}, {"qp_weight": 1.0, "qp_iterations": 2, "penalty_ref": "none"}):
         with pytest.raises(ValueError):
             estimate(Model(Modular(4), BOX), data, **bad)
-    with pytest.raises(NotImplementedError):
-        estimate(Model(Modular(4), BOX), data, qp_weight=1.0)
     with pytest.raises(ValueError):
         estimate(Model(Modular(4), BOX, ONESLACK), data, schedule=schedules.RoundRobin(2))
 
@@ -252,3 +250,33 @@ def test_summaries_need_replications():
         r.se()
     with pytest.warns(UserWarning):
         assert r.mean().tolist() == [0.0]
+
+
+@pytest.mark.parametrize("form,ref", [(NSLACK, "static"), (ONESLACK, "static"), (BLOCKSLACK, "dynamic")])
+def test_a_penalty_ends_before_the_fit_does(spark, form, ref):
+    data, value = toy(spark)
+    ask = {"tolerance": 1e-8, "max_iterations": 500, "qp_weight": 0.7, "qp_iterations": 4, "penalty_ref": ref}
+    r = estimate(Model(Modular(4), BOX, form, blocks=4), data, **ask)
+    assert r.converged and r.objective == pytest.approx(value, abs=1e-6) and r.iterations >= 5
+    assert [t["penalty"] for t in r.trace[:5]] == [0.7] * 4 + [0.0] and not any(t["penalty"] for t in r.trace[5:])
+    again = estimate(Model(Modular(4), BOX, form, blocks=4), data, **ask) if form == BLOCKSLACK else r
+    assert again.theta_hat.tobytes() == r.theta_hat.tobytes() and again.objective == r.objective
+
+
+def test_a_fit_stopped_under_a_penalty_publishes_the_linear_program(spark):
+    data, _ = toy(spark)
+    r = estimate(Model(Modular(4), BOX, BLOCKSLACK, 4), data, tolerance=1e-8, max_iterations=2, qp_weight=5.0, qp_iterations=50)
+    assert not r.converged and r.objective <= estimate(Model(Modular(4), BOX), data, tolerance=1e-8).objective + 1e-9
+
+
+def test_retirement_reads_no_duals_of_a_penalised_program(spark):
+    data, value = toy(spark)
+    r = estimate(Model(Modular(4), BOX), data, tolerance=1e-7, max_iterations=200, policy=cuts.PurgeInactive(1), qp_weight=0.5, qp_iterations=3)
+    assert r.converged and r.objective == pytest.approx(value, abs=1e-5) and [t["retired"] for t in r.trace[1:4]] == [0, 0, 0]
+
+
+def test_penalised_replications_reach_the_same_objectives(spark):
+    data, _ = toy(spark)
+    plain = bootstrap(Model(Modular(4), BOX, BLOCKSLACK, 4), data, 3, seed=2, tolerance=1e-8, keep_fits=True)
+    b = bootstrap(Model(Modular(4), BOX, BLOCKSLACK, 4), data, 3, seed=2, tolerance=1e-8, keep_fits=True, qp_weight=0.5, qp_iterations=3, penalty_ref="dynamic")
+    assert b.converged.all() and [f.objective for f in b.fits] == pytest.approx([f.objective for f in plain.fits], abs=1e-6)

@@ -56,8 +56,50 @@ def test_edits():
     assert m.objective() == pytest.approx(whole, abs=1e-9)
     assert m.remove_cuts([(5, b"under")]) == 1 and m.objective() == pytest.approx(BEST, abs=1e-9)
     assert [r.bundle_key for r in m.extract_cuts()] == [b"down", b"up", b"high", b"loose", b"low"]
-    with pytest.raises(NotImplementedError):
-        m.set_penalty(np.zeros(2), 1.0)
+
+
+@pytest.mark.parametrize("case", range(40))
+def test_penalised_optimum_satisfies_its_conditions(case):
+    rng = np.random.default_rng(case)
+    k, n, rho = int(rng.integers(1, 7)), int(rng.integers(1, 10)), float(rng.choice([1e-3, 0.5, 10]))
+    low, high, c, ref = -rng.uniform(0, 3, k), rng.uniform(0, 3, k), rng.normal(size=k) * 3, rng.normal(size=k) * 2
+    if case % 5 == 0:
+        high[0] = low[0]
+    weight = {a: float(rng.uniform(0.1, 2)) for a in range(n)}
+    rows = [row(a, str(j), rng.integers(-2, 3, k) if case % 2 else rng.normal(size=k), float(rng.integers(-2, 3))) for a in range(n) for j in range(4)]
+    m = Master((low, high), c, weight)
+    m.add_cuts(rows)
+    m.set_penalty(ref, rho)
+    theta, read, bound = m.theta(), m.cut_readings(), m.bound_duals()
+    left = c + 2 * rho * (theta - ref) + sum(read.dual[r.key] * r.phi for r in rows)
+    assert left == pytest.approx([bound.get(i, 0.0) for i in range(k)], abs=1e-9)
+    mass = {a: sum(read.dual[r.key] for r in rows if r.agent_id == a) for a in range(n)}
+    for a, u in m.u_values().items():
+        assert mass[a] <= weight[a] + 1e-9 and (weight[a] - mass[a]) * u == pytest.approx(0, abs=1e-8)
+    assert all(p >= 0 and p * read.slack[key] == pytest.approx(0, abs=1e-8) for key, p in read.dual.items())
+    for i, z in bound.items():
+        assert low[i] == high[i] or (z > 0 and theta[i] == low[i]) or (z < 0 and theta[i] == high[i])
+    m.set_penalty(None, 0.0)
+    plain = Master((low, high), c, weight)
+    plain.add_cuts(rows)
+    assert m.objective() == pytest.approx(plain.objective(), abs=1e-8)
+
+
+def test_a_penalty_chooses_a_point_of_a_flat_face():
+    m = Master(([-4, -4], [4, 4]), (-1.0, 0.0), {0: 1.0})
+    m.add_cuts([row(0, "a", (2, 0), -1.0)])
+    value = m.objective()
+    m.set_penalty([0.5, 3.0], 0.01)
+    assert m.theta() == pytest.approx([0.5, 3.0]) and m.objective() == pytest.approx(value)
+    for bad in (([0.0], 1.0), ([0.0, np.inf], 1.0), ([0.0, 0.0], np.nan)):
+        with pytest.raises(ValueError):
+            m.set_penalty(*bad)
+
+
+def test_a_penalty_without_cuts():
+    m = Master(([-1, -2], [3, 4]), (1.0, -1.0))
+    m.set_penalty([0.0, 0.0], 0.25)
+    assert m.theta() == pytest.approx([-1, 2]) and m.bound_duals() == pytest.approx({0: 0.5})
 
 
 @pytest.mark.parametrize("seed", range(8))
