@@ -130,8 +130,11 @@ def test_persistent_refit_equals_a_new_fit(spark):
         bundle = np.array([int(c) for c in row.bundle_key.decode()], float)
         return float(bundle @ rows[row.agent_id]) * scale
 
-    p = PersistentFit(Model(Modular(4), BOX), at, rhs, tolerance=1e-8)
+    p = PersistentFit(Model(Modular(4), BOX), at, rhs, geometry=lambda scale: np.array([4, scale > 0]), tolerance=1e-8)
     p.fit(1.0)
+    for refit in (p.fit, p.reevaluate):
+        with pytest.raises(ValueError, match="geometry"):
+            refit(-1.0)
     again = p.fit(0.5)
     assert again.objective == pytest.approx(estimate(Model(Modular(4), BOX), at(0.5), tolerance=1e-8).objective, abs=1e-8)
     assert p.reevaluate(0.5) == pytest.approx(again.objective, abs=1e-8)
