@@ -182,6 +182,7 @@ class UnitDemand(NativeOracle):
 class Oracle:
     """User code: implement :meth:`price` or :meth:`price_batch`, and :meth:`features` or :meth:`features_batch`.
 
+    :meth:`features_aggregate` adds the weighted features of many agents without a row for each; fits with aggregate cuts use it where it is there.
     Each must be a pure function of theta and the agents' rows. ``setup`` runs before the first row of a task, ``teardown`` after its last, even
     if one fails.
     Where both forms are there, ``check=True`` compares them.
@@ -206,6 +207,9 @@ class Oracle:
     def features_batch(self, rows: pd.DataFrame, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
+    def features_aggregate(self, rows: pd.DataFrame, sets: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, float]:
+        raise NotImplementedError
+
     def has(self, name: str) -> bool:
         return getattr(type(self), name) is not getattr(Oracle, name)
 
@@ -254,6 +258,19 @@ def _features(oracle: Oracle, pdf: pd.DataFrame, sets: list[np.ndarray]) -> tupl
     return phi, eps
 
 
+def _features_sum(oracle: Oracle, pdf: pd.DataFrame, sets: list[np.ndarray], weights: np.ndarray, size: int) -> tuple[np.ndarray, float]:
+    phi, eps = oracle.features_aggregate(pdf, sets, weights)
+    phi, eps = np.asarray(phi, float), float(eps)
+    if phi.shape != (size,) or not (np.isfinite(phi).all() and np.isfinite(eps)):
+        raise ValueError(f"aggregate features must be {size} finite numbers and one more")
+    if oracle.check:
+        each, e = _features(oracle, pdf, sets)
+        scale = max(1.0, np.abs(weights) @ np.abs(each).max(1, initial=0), np.abs(weights) @ np.abs(e))
+        if max(np.abs(weights @ each - phi).max(), abs(weights @ e - eps)) > oracle.TOLERANCE * scale:
+            raise ValueError("features_aggregate differs from the sum of features")
+    return phi, eps
+
+
 @dataclass(frozen=True)
 class UserOracle(NativeOracle):
     """Adapter of :class:`Oracle` to plans. Filter and project agents before it: nothing moves through Python code."""
@@ -284,6 +301,33 @@ class UserOracle(NativeOracle):
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in agents.schema)
         return agents.withColumn("_theta", theta).mapInPandas(run, f"{schema}, {OUT}")
 
+    def aggregate_cut(self, agents: DataFrame, theta: Column, weight: str | None, by: tuple[str, ...]) -> DataFrame:
+        """The columns of :func:`moments.aggregate_cut` by ``features_aggregate``: one row a group and batch comes out of Python."""
+        oracle, size, by = self.oracle, self.K, list(by)
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            oracle.setup()
+            try:
+                for pdf in it:
+                    out = []
+                    for (key, t), part in pdf.groupby([pdf[by].apply(tuple, axis=1), pdf["_theta"].map(tuple)], sort=False):
+                        part = part.drop(columns=["_theta", *by]).reset_index(drop=True)
+                        found = _price(oracle, np.array(t), part)
+                        w = np.ones(len(part)) if weight is None else part[weight].to_numpy(float)
+                        phi, eps = _features_sum(oracle, part, [d.bundle for d in found], w, size)
+                        out.append((*key, phi, eps, len(part), sum(d.gap > 0 for d in found), max(d.gap for d in found)))
+                    if out:
+                        yield pd.DataFrame(out, columns=[*by, "phi", "epsilon", "n_priced", "n_inexact", "worst_gap"])
+            finally:
+                oracle.teardown()
+
+        types = {f.name: f.dataType.simpleString() for f in agents.schema}
+        schema = ", ".join(f"`{b}` {types[b]}" for b in by) + ", phi array<double>, epsilon double, n_priced bigint, n_inexact bigint, worst_gap double"
+        parts = agents.withColumn("_theta", theta).mapInPandas(run, schema)
+        totals = [F.sum(c).alias(c) for c in ("epsilon", "n_priced", "n_inexact")]
+        whole = parts.groupBy(*by).agg(*[F.sum(item("phi", k)).alias(f"_p{k}") for k in range(size)], *totals, F.max("worst_gap").alias("worst_gap"))
+        return whole.select(*by, F.array(*[f"_p{k}" for k in range(size)]).alias("phi"), "epsilon", "n_priced", "n_inexact", "worst_gap")
+
     def observed(self, observations: DataFrame, choice: str = "choice") -> Column:
         oracle = self.oracle
 

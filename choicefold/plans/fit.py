@@ -169,8 +169,12 @@ class Problem:
 
     def aggregated(self, theta: np.ndarray, blocks: int) -> tuple[list[CutRow], Certification]:
         """The aggregate cut of each block of agents."""
-        d = self.priced(self.agents, literal(theta)).withColumn("block", F.pmod(F.xxhash64("agent_id"), F.lit(blocks)) if blocks > 1 else F.lit(0))
-        rows = sorted(moments.aggregate_cut(d, self.K, self.weight, ("block",)).collect(), key=lambda r: r["block"])
+        block = F.pmod(F.xxhash64("agent_id"), F.lit(blocks)) if blocks > 1 else F.lit(0)
+        if isinstance(self.oracle, UserOracle) and self.oracle.oracle.has("features_aggregate"):
+            found = self.oracle.aggregate_cut(self.agents.withColumn("block", block), literal(theta), self.weight, ("block",))
+        else:
+            found = moments.aggregate_cut(self.priced(self.agents, literal(theta)).withColumn("block", block), self.K, self.weight, ("block",))
+        rows = sorted(found.collect(), key=lambda r: r["block"])
         cuts = [CutRow(0, int(r["block"]), np.array(r["phi"]), r["epsilon"], aggregate_key(r["phi"], r["epsilon"])) for r in rows]
         tally = Certification(sum(r["n_priced"] for r in rows), sum(r["n_inexact"] for r in rows), max(r["worst_gap"] for r in rows))
         return cuts, tally

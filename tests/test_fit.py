@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from choicefold.functions.draws import ExponentialDraws, ReplayedWeights
 from choicefold.functions.layout import Parameters
@@ -7,7 +8,7 @@ from choicefold.operators import cuts, schedules
 from choicefold.operators.pricing import Demand, Enumerated, Modular, Oracle
 from choicefold.plans.bootstrap import bootstrap
 from choicefold.plans.callbacks import Phase, TimeoutSchedule, bootstrap_timeout_callback, point_timeout_callback
-from choicefold.plans.fit import BLOCKSLACK, NSLACK, ONESLACK, Data, Model, estimate
+from choicefold.plans.fit import BLOCKSLACK, NSLACK, ONESLACK, Data, Model, Problem, estimate
 from choicefold.plans.persistent import PersistentFit
 from choicefold.plans.results import BootstrapResult, Certification
 from choicefold.sources.tables import from_arrays
@@ -283,3 +284,33 @@ def test_penalised_replications_reach_the_same_objectives(spark):
     plain = bootstrap(Model(Modular(4), BOX, BLOCKSLACK, 4), data, 3, seed=2, tolerance=1e-8, keep_fits=True)
     b = bootstrap(Model(Modular(4), BOX, BLOCKSLACK, 4), data, 3, seed=2, tolerance=1e-8, keep_fits=True, qp_weight=0.5, qp_iterations=3, penalty_ref="dynamic")
     assert b.converged.all() and [f.objective for f in b.fits] == pytest.approx([f.objective for f in plain.fits], abs=1e-6)
+
+
+class Summed(Scalar):
+    def features_aggregate(self, rows, sets, weights):
+        b = np.array(sets)
+        return weights @ (b * np.stack(rows["r"])), float(weights @ (b * np.stack(rows["nu"])).sum(1))
+
+
+class WronglySummed(Summed):
+    def features_aggregate(self, rows, sets, weights):
+        phi, eps = super().features_aggregate(rows, sets, weights)
+        return phi * 2 + 1, eps
+
+
+def test_aggregate_features_make_the_same_cuts(spark):
+    data, _ = toy(spark)
+    heavy = Data(data.observations.withColumn("w", F.col("obs_id") % 3 + 0.5))
+    rows = []
+    for oracle in (Scalar(), Summed()):
+        for weight in (None, "w"):
+            p = Problem(Model(oracle, BOX, BLOCKSLACK, 3), heavy, weight)
+            cuts_, tally = p.aggregated(np.array([0.3, -0.2, 0.1, 0.4]), 3)
+            rows.append((np.array([[*c.phi, c.epsilon, c.agent_id] for c in cuts_]), tally))
+            p.close()
+    for (a, x), (b, y) in zip(rows[:2], rows[2:], strict=True):
+        assert a == pytest.approx(b, abs=1e-12) and x == y and x.n_priced == 14
+    p = Problem(Model(WronglySummed(), BOX, ONESLACK), data)
+    with pytest.raises(Exception, match="features_aggregate differs"):
+        p.aggregated(np.zeros(4), 1)
+    p.close()
