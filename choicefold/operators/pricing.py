@@ -21,6 +21,8 @@ from ..functions import bundles
 from ..functions.vectors import first_max, item, total
 
 OUT = "bundle array<double>, payoff double, gap double, phi array<double>, epsilon double"
+#: Columns that carry an agent's installed cuts through pricing; user code doesn't see them.
+KEPT = ("_cuts", "_keys")
 
 
 @dataclass(frozen=True)
@@ -290,9 +292,10 @@ class UserOracle(NativeOracle):
                     out = []
                     for t, part in pdf.groupby(pdf["_theta"].map(tuple), sort=False):
                         part = part.drop(columns="_theta").reset_index(drop=True)
-                        found = _price(oracle, np.array(t), part)
+                        shown = part.drop(columns=[c for c in KEPT if c in part])
+                        found = _price(oracle, np.array(t), shown)
                         sets = [np.atleast_1d(np.asarray(d.bundle, float)) for d in found]
-                        phi, eps = _features(oracle, part, [d.bundle for d in found])
+                        phi, eps = _features(oracle, shown, [d.bundle for d in found])
                         out.append(part.assign(bundle=sets, payoff=[d.payoff for d in found], gap=[d.gap for d in found], phi=list(phi), epsilon=eps))
                     yield pd.concat(out)[[*names, "bundle", "payoff", "gap", "phi", "epsilon"]]
             finally:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .agents import shard_bounds
@@ -30,6 +30,10 @@ class RepricingSchedule:
     def select(self, agents: DataFrame, n: int, iteration: int, duals: DataFrame | None = None, last: DataFrame | None = None) -> DataFrame:
         raise NotImplementedError
 
+    def mask(self, n: int, iteration: int) -> Column | None:
+        """The same as a condition on ``agent_id``, for schedules that need nothing else."""
+        return None
+
 
 class ResolveAll(RepricingSchedule):
     full = True
@@ -49,8 +53,11 @@ class RoundRobin(RepricingSchedule):
             raise ValueError("chunks must be at least 1")
 
     def select(self, agents, n, iteration, duals=None, last=None):
+        return agents.where(self.mask(n, iteration))
+
+    def mask(self, n, iteration):
         lo, hi = shard_bounds(n, self.chunks, iteration % self.chunks)
-        return agents.where((F.col("agent_id") >= lo) & (F.col("agent_id") < hi))
+        return (F.col("agent_id") >= lo) & (F.col("agent_id") < hi)
 
 
 @dataclass(frozen=True)

@@ -3,7 +3,7 @@
 Agents are read once and kept in executor memory; each iteration is one action over them with theta as a literal, so lineage
 never grows.  With ``NSLACK`` the action brings back violated agents' cuts; with ``ONESLACK`` it brings one aggregate row, whatever the number of agents, which is
 the form to use at scale.  ``BLOCKSLACK`` lies between: one row for each of a fixed number of groups of agents,
-which takes fewer iterations.
+which takes fewer iterations.  From ``LoopConfig.spread`` agents on, ``NSLACK`` leaves cuts with the executors (see :mod:`spread`).
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from ..operators.pricing import NativeOracle, Oracle, UserOracle, reduced_cost,
 from ..operators.schedules import RepricingSchedule, ResolveAll
 from .master import CutRow, Master
 from .results import Certification, FitResult, Publication, RunInfo
+from .spread import TABLE, SpreadMaster
 
 NSLACK, ONESLACK, BLOCKSLACK = "nslack", "oneslack", "blockslack"
 AGGREGATE = -1
@@ -81,6 +82,9 @@ class LoopConfig:
     policy: cx.CutPolicy = field(default_factory=cx.AddAll)
     callback: Callable[[int, object], int | None] | None = None
     on_event: Callable[[dict], None] | None = None
+    #: Agents from which on the cuts of single agents stay with the executors. Warm cuts, kept masters, policies, schedules that read duals and u without a
+    #: lower bound of 0 or more keep them on the driver.
+    spread: int = 50_000
     _silent: list[Exception] = field(default_factory=list, compare=False, repr=False)
 
     def __post_init__(self):
@@ -216,8 +220,35 @@ def run_fit(p: Problem, config: LoopConfig, warm_cuts: Iterable[CutRow] = (), ma
     nslack = p.model.formulation == NSLACK
     if not nslack and not config.schedule.full:
         raise ValueError("aggregate cuts need every agent in every iteration")
-    if master is None:
+    spread = nslack and master is None and not warm_cuts and spreads(config, p, u_lower)
+    if spread:
+        master = SpreadMaster(p.spark, p.agents, p.n * p.S, p.model.parameters.bounds, p.c, p.weight, u_lower)
+    elif master is None:
         master = Master(p.model.parameters.bounds, p.c, p.weights() if nslack else 1.0, u_lower)
+    try:
+        result = _loop(p, config, warm_cuts, master, u_lower, publish, began, total, trace)
+    except BaseException:
+        if spread:
+            master.close()
+        raise
+    if spread and result.cut_table is None:
+        master.close()
+    return result, master
+
+
+def spreads(config: LoopConfig, p: Problem, u_lower: float | None) -> bool:
+    """Whether a fit leaves the cuts of single agents with the executors."""
+    plain = type(config.policy) is cx.AddAll and (config.schedule.full or config.schedule.mask(1, 0) is not None)
+    return plain and u_lower is not None and u_lower >= 0 and p.n * p.S >= config.spread
+
+
+def _cut_table(spark, master: Master) -> DataFrame:
+    read = master.cut_readings()
+    return spark.createDataFrame([(r.agent_id, bytearray(r.bundle_key), r.phi.tolist(), r.epsilon, float(read.dual[r.key]), float(read.slack[r.key])) for r in master.extract_cuts()], TABLE)
+
+
+def _loop(p: Problem, config: LoopConfig, warm_cuts, master: Master | SpreadMaster, u_lower, publish, began, total, trace) -> FitResult:
+    nslack, spread = p.model.formulation == NSLACK, isinstance(master, SpreadMaster)
     if warm_cuts:
         master.reinstall(warm_cuts)
     blocks = p.model.blocks if p.model.formulation == BLOCKSLACK else 1
@@ -233,7 +264,11 @@ def run_fit(p: Problem, config: LoopConfig, warm_cuts: Iterable[CutRow] = (), ma
         penalised = coming
         master.solve()
         theta, full = master.theta(), True
-        if nslack:
+        if spread:
+            mask = None if config.schedule.full or force_full or penalised else config.schedule.mask(p.n * p.S, it)
+            full = mask is None
+            worst, tally, new = master.price(p.oracle, theta, config.tolerance, mask)
+        elif nslack:
             agents = p.agents
             if not config.schedule.full and not force_full and not penalised:
                 duals = None
@@ -260,10 +295,11 @@ def run_fit(p: Problem, config: LoopConfig, warm_cuts: Iterable[CutRow] = (), ma
         total = total.plus(tally)
         hit = worst <= config.tolerance
         done = hit and full and it + 1 >= floor and not penalised
-        gone = [] if done else retire.keys(p.spark, master, it)
+        gone = [] if done or spread else retire.keys(p.spark, master, it)
         if gone:
             master.remove_cuts(gone)
-        new = master.add_cuts(admit)
+        if not spread:
+            new = master.add_cuts(admit)
         coming = config.penalise(master, it + 1, theta)
         trace.append({"iteration": it, "gap": worst, "n_priced": tally.n_priced, "added": new, "retired": len(gone), "n_cuts": master.n_active_cuts, "objective": master.objective(), "penalty": master.penalty})
         tell(config, {"event": "iteration", **trace[-1]})
@@ -281,9 +317,10 @@ def run_fit(p: Problem, config: LoopConfig, warm_cuts: Iterable[CutRow] = (), ma
     result = FitResult(
         master.theta(), master.objective(), p.moment, converged, it + 1, master.n_active_cuts, p.model.parameters, total, slack,
         master.extract_cuts() if keep & Publication.ACTIVE_SET else None, master.dual_values() if nslack and keep & Publication.DUAL else None, master.bound_duals(), RunInfo.of(p.spark, began), trace,
+        (master.table() if spread else _cut_table(p.spark, master)) if keep & Publication.TABLE else None, master.close if spread else None,
     )
     tell(config, {"event": "final", "converged": converged, "iterations": it + 1, "objective": result.objective})
-    return result, master
+    return result
 
 
 def estimate(model: Model, data: Data, *, weight: str | None = None, warm_cuts: Iterable[CutRow] = (), u_lower: float | None = 0.0, publish: Publication = Publication.FULL, **controls) -> FitResult:

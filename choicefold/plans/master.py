@@ -176,20 +176,16 @@ class Master:
         reach = np.abs(self.phi) @ np.maximum(np.abs(self.lower), np.abs(self.upper)) + np.abs(self.eps)
         most = float(self.w @ np.maximum.reduceat(reach, self.first)) + abs(self.u_lower or 0.0) * float(self.w.sum()) + 1.0
         low = float(self.w.sum()) * self.u_lower if self.u_lower is not None else -most
-        if self._lp is None or self._lp.upper[-1] < most or self._lp.lower[-1] > low:
-            old = self._lp
-            self._lp = GrowingLP(np.append(self.c, 1.0), np.append(self.lower, min(low, old.lower[-1]) if old else low), np.append(self.upper, most))
-            self._on: list[np.ndarray] = []
-            self._added(self._theta)
-        else:  # tangents of fewer cuts are still below the value of more; their cuts have moved to other places
-            self._lp = GrowingLP(np.append(self.c, 1.0), self._lp.lower, self._lp.upper)
-            points, self._on = self._points, []
-            for p in points:
-                self._added(p)
+        # A tangent sums over all agents: the program is solved in units of their number, else rows of millions stand beside ones. A power of two rounds nothing.
+        steep = float(self.w @ np.maximum.reduceat(np.abs(self.phi).max(1, initial=0.0), self.first))
+        self._unit = 2.0 ** np.ceil(np.log2(max(1.0, steep, np.abs(self.c).max(initial=0.0))))
+        self._lp = GrowingLP(np.append(self.c / self._unit, 1.0), np.append(self.lower, low / self._unit), np.append(self.upper, most / self._unit))
+        self._on: list[np.ndarray] = []
+        self._added(self._theta)
         before = None
         for _ in range(20_000):
             x = self._lp.solve()
-            theta, total = x[:-1], float(x[-1])
+            theta, total = x[:-1], float(x[-1]) * self._unit
             u, at = self._highest(theta)
             value = float(self.w @ u)
             if value - total <= AGREE * max(1.0, abs(value)) or (before is not None and np.array_equal(before, x)):
@@ -207,7 +203,6 @@ class Master:
         self._theta = np.clip(self._lp.x[:-1], self.lower, self.upper)
         self._total = float(self.w @ self._highest(self._theta)[0])
         mult = self._lp.row_duals()
-        self._points = [self._theta]
         self._pi = np.zeros(len(self.rows))
         for m, on in zip(mult, self._on, strict=True):
             if m > 0:
@@ -250,7 +245,7 @@ class Master:
     def _added(self, theta: np.ndarray, at: np.ndarray | None = None) -> None:
         at = self._highest(theta)[1] if at is None else at
         g, h = self._tangent(at)
-        self._lp.add(np.append(-g, 1.0), h)
+        self._lp.add(np.append(-g / self._unit, 1.0), h / self._unit)
         self._on.append(at)
 
     # -- readings -----------------------------------------------------------------------------------------------------
@@ -259,9 +254,13 @@ class Master:
         self.solve()
         return self._theta.copy()
 
+    def worth(self, theta: np.ndarray, total: float) -> float:
+        """The objective at a theta where all u sum to ``total``."""
+        return float(self.c @ theta) + total + self._penalty * float(((theta - self._ref) ** 2).sum())
+
     def objective(self) -> float:
         self.solve()
-        return float(self.c @ self._theta) + self._total + self._penalty * float(((self._theta - self._ref) ** 2).sum())
+        return self.worth(self._theta, self._total)
 
     def u_values(self) -> dict[int, float]:
         """u of the agents that have cuts."""
@@ -289,4 +288,4 @@ class Master:
             return {k: v for k, v in self._reduced.items() if abs(v) > 1e-12}
         if self._lp is None:
             return {k: float(v) for k, v in enumerate(self.c) if v}
-        return {k: v for k, v in sorted(self._lp.bound_duals().items()) if k < self.K and abs(v) > 1e-12}
+        return {k: v * self._unit for k, v in sorted(self._lp.bound_duals().items()) if k < self.K and abs(v * self._unit) > 1e-12}

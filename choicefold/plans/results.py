@@ -9,6 +9,7 @@ import platform
 import resource
 import time
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import IntEnum, IntFlag
 
@@ -34,6 +35,8 @@ class Publication(IntFlag):
     ACTIVE_SET = 2
     DUAL = 4
     FULL = 7
+    #: Cuts with duals and slacks as a DataFrame, which needs no driver memory.
+    TABLE = 8
 
 
 @dataclass(frozen=True)
@@ -86,6 +89,14 @@ class FitResult:
     bound_duals: dict[int, float] = field(default_factory=dict)
     run_info: RunInfo | None = None
     trace: list[dict] = field(default_factory=list)
+    #: agent_id, bundle_key, phi, epsilon, pi, slack; readable until :meth:`close`.
+    cut_table: DataFrame | None = None
+    _close: Callable[[], None] | None = field(default=None, repr=False, compare=False)
+
+    def close(self) -> None:
+        """Frees the files behind ``cut_table``."""
+        if self._close is not None:
+            self._close()
 
     @property
     def theta_named(self) -> dict[str, np.ndarray]:
