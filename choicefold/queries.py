@@ -580,15 +580,14 @@ def fit_enumerated_kkt(spark, d):
 
     o = _obs(spark, d).select("obs_id", F.slice("r", 1, 3).alias("x"), F.slice("nu", 1, 3).alias("nu"), F.slice("choice", 1, 3).alias("choice"))
     model = fit.Model(pricing.Enumerated(3), Parameters({"price": (-10.0, 10.0, 1), "item": (-10.0, 10.0, 3)}))
-    r = fit.estimate(model, fit.Data(o), tolerance=1e-8)
-    cuts, pi = r.cuts, r.cut_duals
+    r = fit.estimate(model, fit.Data(o), tolerance=1e-8, publish=fit.Publication.TABLE)
     c = -np.array(moments.sums(o.select(pricing.Enumerated(3).observed(o).alias("phi")), "phi", 4).first()["total"])
-    left = c + sum(pi[k.key] * k.phi for k in cuts)
+    weighted = [F.sum(F.col("pi") * item("phi", k)).alias(f"m{k}") for k in range(4)]
+    row = r.cut_table.groupBy("agent_id").agg(F.sum("pi").alias("mass"), *weighted).agg(F.max("mass").alias("mass"), *[F.sum(f"m{k}").alias(f"m{k}") for k in range(4)]).first()
+    r.close()
+    left = c + np.array([row[f"m{k}"] or 0.0 for k in range(4)])
     bound = np.array([r.bound_duals.get(k, 0.0) for k in range(4)])
-    mass: dict[int, float] = {}
-    for k in cuts:
-        mass[k.agent_id] = mass.get(k.agent_id, 0.0) + pi[k.key]
-    over = max([0.0, *[m - 1 for m in mass.values()]])
+    over = max(0.0, (row["mass"] or 0.0) - 1)
     return spark.createDataFrame([(round(float(np.abs(left - bound).max()), 6), round(over, 6), r.converged)], "stationarity double, mass_over double, converged boolean")
 
 
