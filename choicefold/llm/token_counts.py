@@ -4,7 +4,7 @@ Between words: counts of words add up, so a running sum over a text's words is t
 ends with a word.  Inside a word: the count of a prefix is one more than that of the prefix before its last token,
 which is the one token that ends there and is *compatible* with the last token before it
 (byte-pair encodings are exactly the sequences whose neighbours are compatible).  Every prefix, by characters,
-has its count, so both tables answer how many tokens a prefix has and where a budget ends, without encoding again.
+has its count, in both tables: they answer how many tokens a prefix has and where a budget ends, without encoding again.
 
 Words that the program can't treat for certain (not in composed form, odd control characters, or a sum that the
 library doesn't confirm) have each of their prefixes encoded by the library: exact too, but quadratic in the word.
@@ -20,11 +20,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +36,11 @@ _WORD = re.compile("[^ \n\t\r\x0b\x0c\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u
 _PIECE = re.compile("a+|0|!+")
 _SHORT = re.compile("'(?:s|t|re|ve|m|ll|d)")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+_WHITE = np.zeros(0x3002, bool)
+_WHITE[[i for i in range(0x3002) if not _WORD.match(chr(i))]] = True
+#: Words whose steps a worker keeps, about 200 bytes each (a bound of memory, not of work).
+KEPT_WORDS = 500_000
+STEPS = "doc_id long, n_bytes long, steps binary"
 TABLE = "doc_id long, n_bytes long, n_tokens long, ends array<int>, counts array<int>"
 
 
@@ -57,40 +61,98 @@ def prefix_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TABLE)
 
 
-def write_counts(docs: DataFrame, vocabulary: str, path: str, budget: int) -> None:
-    """A Parquet table of prefixes: per document ``counts``, the tokens up to the end of each word, and ``inside``, those of the prefixes that end inside the word where ``budget`` is exceeded.
+def write_counts(docs: DataFrame, vocabulary: str, path: str) -> None:
+    """A Parquet table of all prefixes: per document ``steps``, by how much each character of the text changes the count (16-bit little-endian integers).
 
-    Delta encoding keeps a running count in a few bits.
+    The count of a prefix is the sum of its steps, inside words too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, inner = encoder(vocabulary, False), prefixes(vocabulary)
-        for batch in runs(batches, "text", 2_000_000):
-            at, per = enc.index(batch.column("text"))
-            counts, bounds = _counts(enc.lens[at], per)
-            over = set(np.flatnonzero(_last(counts, bounds) > budget).tolist())
-            inside = [_within(batch.column("text")[i].as_py(), budget, enc, inner) if i in over else np.zeros(0, np.int64) for i in range(batch.num_rows)]
-            n_bytes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
-            flat = np.concatenate([np.zeros(0, np.int64), *inside]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(counts.astype(np.int32))), pa.ListArray.from_arrays(np.cumsum([0, *map(len, inside)]).astype(np.int32), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, *lists], ["doc_id", "n_bytes", "counts", "inside"])
+        own = steps(vocabulary)
+        for batch, texts in slices(batches, "text", 2_000_000):
+            # A line feed between texts keeps their words apart.
+            flat = own.of("\n".join(texts)).astype("<i2")
+            lens = np.fromiter(map(len, texts), np.int64, len(texts))
+            starts = np.cumsum(lens + 1) - lens - 1
+            data = [flat[i : i + n].tobytes() for i, n in zip(starts.tolist(), lens.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _bytes(texts), pa.array(data, pa.binary())], ["doc_id", "n_bytes", "steps"])
 
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, counts array<int>, inside array<int>")
-    table.write.option("compression", "zstd").option("parquet.writer.version", "v2").parquet(path)
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STEPS)
+    table.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str, budget: int) -> DataFrame:
-    """Writes the table of prefixes and answers from it, without encoding again: the whole count, and the tokens of the longest prefix within ``budget``, inside a word too."""
+    """Writes the table of all prefixes and answers from it, without encoding again: the whole count, and the tokens of the longest prefix within ``budget``, inside a word too."""
     spark = docs.sparkSession
     path = table_path(spark, "prefix-counts")
-    write_counts(docs, vocabulary, path, budget)
-    stored = spark.read.schema("doc_id long, n_bytes long, counts array<int>, inside array<int>").parquet(path)
-    n = F.coalesce(F.try_element_at("counts", F.lit(-1)), F.lit(0)).cast("long")
-    # Counts of words never fall, so those within the budget are the first ones; the longest prefix ends with one of them or inside the next.
-    words = F.coalesce(F.array_max(F.filter("counts", lambda c: c <= budget)), F.lit(0))
-    part = F.filter("inside", lambda c: c <= budget)
-    within = F.when(n <= budget, n).otherwise(F.coalesce(F.try_element_at(part, F.lit(-1)), words)).cast("long")
-    return stored.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > budget).alias("over_limit"), within.alias("budget_tokens"))
+    write_counts(docs, vocabulary, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, "steps", 4_000_000):
+            each = [np.frombuffer(x.as_buffer(), "<i2") for x in batch.column("steps")]
+            n = np.fromiter((x.sum(dtype=np.int64) for x in each), np.int64, len(each))
+            within = n.copy()
+            # A longer prefix may have fewer tokens, so a whole text within the budget is its own longest prefix.
+            for i in np.flatnonzero(n > budget).tolist():
+                c = np.cumsum(each[i], dtype=np.int64)
+                fits = np.flatnonzero(c <= budget)
+                within[i] = c[fits[-1]] if len(fits) else 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n), pa.array(n > budget), pa.array(within)], ["doc_id", "n_bytes", "n_tokens", "over_limit", "budget_tokens"])
+
+    return spark.read.schema(STEPS).parquet(path).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, budget_tokens long")
+
+
+class Steps:
+    """What each character adds to the count of tokens, for words seen and texts of them."""
+
+    def __init__(self, vocabulary: str):
+        self.enc, self.inner = encoder(vocabulary, False), prefixes(vocabulary)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.int16), 0
+        self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        found = [self.inner.counts_of(w, n) for w, n in zip(new, _lens(new, self.enc).tolist(), strict=True)]
+        flat = np.concatenate([np.diff(c, prepend=0) for c in found])
+        if np.abs(flat).max() > np.iinfo(np.int16).max:
+            raise ValueError("a character changes the count by more than 16 bits hold")
+        lens, k = np.fromiter(map(len, found), np.int64, len(found)), len(self.at)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool)), np.int16)])
+        if k + len(new) > len(self.starts):
+            self.starts, self.lens = (np.concatenate([x, np.zeros(max(len(x), len(new)), np.int64)]) for x in (self.starts, self.lens))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.starts[k : k + len(new)], self.lens[k : k + len(new)] = self.used + np.cumsum(lens) - lens, lens
+        self.used += len(flat)
+        self.at.update(zip(new, range(k, k + len(new)), strict=True))
+
+    def of(self, text: str) -> np.ndarray:
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        out = np.zeros(len(code), np.int16)
+        words = _WORD.findall(text)
+        if not words:
+            return out
+        if len(self.at) > KEPT_WORDS or self.used > 16 * KEPT_WORDS:
+            self._clear()
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        if len(miss := np.flatnonzero(at < 0)):
+            lost = [words[i] for i in miss.tolist()]
+            self._learn(list(dict.fromkeys(lost)))
+            at[miss] = np.fromiter(map(self.at.__getitem__, lost), np.int64, len(lost))
+        lens = self.lens[at]
+        ends = np.cumsum(lens)
+        # Words come in order, and so do the characters that are in words.
+        out[~_WHITE[np.minimum(code, len(_WHITE) - 1)]] = self.pool[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(int(ends[-1]))]
+        return out
+
+
+@lru_cache
+def steps(vocabulary: str) -> Steps:
+    """One per worker process and vocabulary."""
+    return Steps(vocabulary)
 
 
 def _lens(words: list[str], enc: WordEncoder) -> np.ndarray:
@@ -111,15 +173,6 @@ def _text_counts(text: str, enc: WordEncoder, inner: Prefixes) -> np.ndarray:
     return out
 
 
-def _within(text: str, budget: int, enc: WordEncoder, inner: Prefixes) -> np.ndarray:
-    """Tokens of the prefixes that end inside the first word whose end is over ``budget``."""
-    words = [m[0] for m in islice(_WORD.finditer(text), budget + 1)]
-    lens = _lens(words, enc)
-    upto = np.cumsum(lens)
-    over = int(np.searchsorted(upto, budget, side="right"))
-    return int(upto[over] - lens[over]) + inner.counts(words[over], int(lens[over]))
-
-
 def tokens_before(pos: Column, ends: str = "ends", counts: str = "counts") -> Column:
     """Exact tokens of the first ``pos`` characters, from a row of :func:`prefix_table`."""
     n = F.size(F.filter(ends, lambda e: e <= pos))
@@ -131,13 +184,6 @@ def cut_at(budget: Column, ends: str = "ends", counts: str = "counts") -> Column
     return F.coalesce(F.array_max(F.zip_with(ends, counts, lambda e, c: F.when(c <= budget, e))), F.lit(0))
 
 
-def _counts(lens: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums that start anew with each text, and where each text's begin and end."""
-    bounds = np.concatenate([[0], np.cumsum(per)])
-    whole = np.concatenate([[0], np.cumsum(lens)])
-    return whole[1:] - np.repeat(whole[bounds[:-1]], per), bounds
-
-
 def _last(counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if not len(counts):
         return np.zeros(len(bounds) - 1, np.int64)
@@ -157,7 +203,7 @@ class PrefixCounter:
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.known, self.end = model["vocab"].keys(), model["end_of_word_suffix"]
         self.longest = max(len(x.removesuffix(self.end)) for x in self.known)
-        self.fit = lru_cache(1 << 16)(self._fit)
+        self.fit = lru_cache(1 << 18)(self._fit)
         self.whole = lru_cache(1 << 16)(lambda t: self.merge(self._symbols(t)) == [t])
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -205,7 +251,7 @@ class Prefixes:
 
     def __init__(self, vocabulary: str):
         self.tok, self.counter = encoder(vocabulary, False).tok, PrefixCounter(vocabulary)
-        self.piece = lru_cache(1 << 14)(self._piece)
+        self.piece = lru_cache(1 << 16)(self._piece)
         self.short = lru_cache(1 << 14)(self.counts_of)
 
     def counts(self, w: str, n: int) -> np.ndarray:

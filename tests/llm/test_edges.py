@@ -307,3 +307,13 @@ def test_visits_share_one_queue():
     assert len(set(hit)) == len(hit) and size[hit].sum() == 3 * 500
     near = ann.visits(trees, first, size, x[0], 1)
     assert near[0] in leaf.reshape(3, -1)[:, 0]
+
+
+def test_query_table_holds_every_prefix(spark, docs, tmp_path):
+    """Not only ends of words and the word where the budget ends: each prefix of each text."""
+    v = vocabulary("word_bpe_49k.json")
+    some = docs.where("doc_id in (0, 1, 2, 4, 5, 10, 11, 14)")
+    token_counts.write_counts(some, v, f"{tmp_path}/steps")
+    whole = {r["doc_id"]: r["counts"] for r in token_counts.prefix_table(some, v).collect()}
+    got = {r["doc_id"]: np.cumsum(np.frombuffer(bytes(r["steps"]), "<i2")).tolist() for r in spark.read.parquet(f"{tmp_path}/steps").collect()}
+    assert got == whole and sum(map(len, got.values())) > 100
