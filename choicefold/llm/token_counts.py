@@ -6,6 +6,7 @@ which is the one token that ends there and is *compatible* with the last token b
 (byte-pair encodings are exactly the sequences whose neighbours are compatible).  Every prefix, by characters,
 has its count, in both tables: they answer how many tokens a prefix has and where a budget ends, without encoding again.
 
+New words come many at a time: pieces of plain ones are sorted, so what a word shares with its neighbour is counted once.
 Words that the program can't treat for certain (not in composed form, odd control characters, or a sum that the
 library doesn't confirm) have each of their prefixes encoded by the library: exact too, but quadratic in the word.
 
@@ -20,7 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,16 @@ _SHORT = re.compile("'(?:s|t|re|ve|m|ll|d)")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 _WHITE = np.zeros(0x3002, bool)
 _WHITE[[i for i in range(0x3002) if not _WORD.match(chr(i))]] = True
+#: Letters and other characters up to U+017F that keep their number and their composed form in lower case; words of these are cut many at a time.
+_LETTERS = "".join(c for c in map(chr, range(0x61, 0x180)) if unicodedata.category(c)[0] == "L" and c == c.lower())
+_PLAIN = np.array([(33 <= i < 127 or unicodedata.category(chr(i))[0] in "LPS") and chr(i).lower() in {*map(chr, range(33, 127)), *_LETTERS, chr(i)} and ord(chr(i).lower()[-1]) < 0x180 for i in range(0x180)])
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|\n|[^{_LETTERS}0-9\n]+")
+#: New words that are confirmed by the library at a time.
+_RUN = 500
 #: Words whose steps a worker keeps, about 200 bytes each (a bound of memory, not of work).
 KEPT_WORDS = 500_000
+#: Pairs of tokens whose fit a worker keeps.
+KEPT_PAIRS = 400_000
 STEPS = "doc_id long, n_bytes long, steps binary"
 TABLE = "doc_id long, n_bytes long, n_tokens long, ends array<int>, counts array<int>"
 
@@ -113,13 +122,13 @@ class Steps:
         self.at: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.int16), 0
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.piece_at: dict[str, int] = {"\n": 0}
+        self.piece_steps: list[bytes] = [b""]
 
-    def _learn(self, new: list[str]) -> None:
-        found = [self.inner.counts_of(w, n) for w, n in zip(new, _lens(new, self.enc).tolist(), strict=True)]
-        flat = np.concatenate([np.diff(c, prepend=0) for c in found])
-        if np.abs(flat).max() > np.iinfo(np.int16).max:
+    def _add(self, new: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
+        if len(flat) and np.abs(flat).max() > np.iinfo(np.int16).max:
             raise ValueError("a character changes the count by more than 16 bits hold")
-        lens, k = np.fromiter(map(len, found), np.int64, len(found)), len(self.at)
+        k = len(self.at)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool)), np.int16)])
         if k + len(new) > len(self.starts):
@@ -129,6 +138,40 @@ class Steps:
         self.used += len(flat)
         self.at.update(zip(new, range(k, k + len(new)), strict=True))
 
+    def _learn(self, new: list[str]) -> None:
+        code = np.frombuffer("\n".join(new).encode("utf-32-le"), "<u4")
+        wide = np.fromiter(map(len, new), np.int64, len(new))
+        odd = ~_PLAIN[np.minimum(code, len(_PLAIN) - 1)] | (code >= len(_PLAIN))
+        before = np.concatenate([[0], np.cumsum(odd)])
+        ends = np.cumsum(wide + 1) - 1
+        plain = before[ends] == before[ends - wide]
+        plain &= np.fromiter(("<|" not in w for w in new), bool, len(new))
+        many = [new[i] for i in np.flatnonzero(plain).tolist()]
+        sure = self._many(many) if many else np.zeros(0, bool)
+        rest = [new[i] for i in np.flatnonzero(~plain).tolist()] + [many[i] for i in np.flatnonzero(~sure).tolist()]
+        if rest:
+            found = [self.inner.counts_of(w, n) for w, n in zip(rest, _lens(rest, self.enc).tolist(), strict=True)]
+            self._add(rest, np.concatenate([np.diff(c, prepend=0) for c in found]), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _many(self, words: list[str]) -> np.ndarray:
+        """Steps of words of plain characters, piece by piece; which of them the library's counts confirm (only these are learned)."""
+        parts = _PIECES.findall("\n".join(words).lower())
+        at = np.fromiter(map(self.piece_at.get, parts, repeat(-1)), np.int64, len(parts))
+        per = np.diff(np.concatenate([[-1], np.flatnonzero(at == 0), [len(parts)]])) - 1
+        if len(miss := np.flatnonzero(at < 0)):
+            lost = [parts[i] for i in miss.tolist()]
+            for p, x in self.inner.steps_of(list(dict.fromkeys(lost))):
+                self.piece_at[p] = len(self.piece_steps)
+                self.piece_steps.append(x)
+            at[miss] = np.fromiter(map(self.piece_at.__getitem__, lost), np.int64, len(lost))
+        flat = np.frombuffer(b"".join(map(self.piece_steps.__getitem__, at.tolist())), np.int16)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        cum = np.concatenate([[0], np.cumsum(flat, dtype=np.int64)])
+        ends = np.cumsum(lens)
+        sure = cum[ends] - cum[ends - lens] == self.inner.counts_by_library(words, per)
+        self._add([w for w, s in zip(words, sure.tolist(), strict=True) if s], flat[np.repeat(sure, lens)], lens[sure])
+        return sure
+
     def of(self, text: str) -> np.ndarray:
         code = np.frombuffer(text.encode("utf-32-le"), "<u4")
         out = np.zeros(len(code), np.int16)
@@ -202,13 +245,20 @@ class PrefixCounter:
             model = json.load(f)["model"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.known, self.end = model["vocab"].keys(), model["end_of_word_suffix"]
-        self.longest = max(len(x.removesuffix(self.end)) for x in self.known)
-        self.fit = lru_cache(1 << 18)(self._fit)
+        #: Tokens by their characters: 1 inside a word, 2 at its end, 3 both, 0 the beginning of one.
+        self.kind: dict[str, int] = {}
+        for x in self.known:
+            t, at = (x.removesuffix(self.end), 2) if x.endswith(self.end) and x != self.end else (x, 1)
+            self.kind[t] = self.kind.get(t, 0) | at
+            for i in range(1, len(t)):
+                self.kind.setdefault(t[:i], 0)
+        self._forget()
+        self.split = lru_cache(None)(self._split)
         self.whole = lru_cache(1 << 16)(lambda t: self.merge(self._symbols(t)) == [t])
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Greedy merging by rank."""
-        while len(symbols) > 1:
+    def merge(self, symbols: list[str], least: int = 1) -> list[str]:
+        """Greedy merging by rank, while there are more than ``least`` symbols."""
+        while len(symbols) > least:
             best = min(range(len(symbols) - 1), key=lambda i: self.rank.get((symbols[i], symbols[i + 1]), len(self.rank)))
             pair = (symbols[best], symbols[best + 1])
             if pair not in self.rank:
@@ -226,23 +276,84 @@ class PrefixCounter:
         body = list(token.removesuffix(self.end)) if last else list(token)
         return [*body[:-1], body[-1] + self.end] if last else body
 
-    def _fit(self, a: str, b: str) -> bool:
-        return self.merge(self._symbols(a) + self._symbols(b)) == [a, b]
+    def _split(self, token: str) -> tuple[int, str, str]:
+        """Rank and parts of the merge that makes a token in the end; -1 for a symbol."""
+        parts = self._symbols(token)
+        if len(parts) < 2:
+            return -1, "", ""
+        parts = self.merge(parts, 2)
+        return self.rank[parts[0], parts[1]], parts[0], parts[1]
+
+    def fit(self, a: str, b: str) -> bool:
+        """Whether two tokens stay as they are beside each other: undoing their merges from the last, no pair across the border comes before those undone."""
+        limit = len(self.rank)
+        while True:
+            if self.rank.get((a, b), limit) < limit:
+                return False
+            (left, _, rest), (right, first, _) = self.split(a), self.split(b)
+            if left > right:
+                limit, a = left, rest
+            elif right >= 0:
+                limit, b = right + 1, first
+            else:
+                return True
 
     def word(self, w: str) -> list[int]:
         """For i = 1..len(w): tokens of the word that the first i symbols make. ``w`` is in the encoder's byte letters."""
-        plain, last, out = [0], [""], []
-        for i in range(1, len(w) + 1):
-            ends = []
-            for suffix in ("", self.end):
-                for j in range(max(0, i - self.longest), i):
-                    t = w[j:i] + suffix
-                    if t in self.known and self.whole(t) and (not j or self.fit(last[j], t)):
-                        ends.append((plain[j] + 1, t))
-                        break
-            plain.append(ends[0][0])
-            last.append(ends[0][1])
-            out.append(ends[1][0])
+        return next(self.words([w]))
+
+    def words(self, words: list[str]) -> Iterator[list[int]]:
+        """:meth:`word` of each; what a word shares with the one before it is counted once, so words should be sorted."""
+        if self.judged > KEPT_PAIRS:
+            self._forget()
+        kind, rows = self.kind, self.rows
+        # By characters: the count, what may follow the last token, and where the longest end begins that a token begins with.
+        plain, row, low, out, before = [0], [rows[""]], [0], [], ""
+        for w in words:
+            k, most = 0, min(len(w), len(before))
+            while k < most and w[k] == before[k]:
+                k += 1
+            del plain[k + 1 :], row[k + 1 :], low[k + 1 :], out[k:]
+            for i in range(k + 1, len(w) + 1):
+                inside, ends, j = True, True, low[-1]
+                while (t := w[j:i]) not in kind:
+                    j += 1
+                low.append(j)
+                while True:
+                    if of := kind.get(t):
+                        to = row[j]
+                        if inside and of & 1:
+                            fits = to[0].get(t)
+                            if self._judge(to, 0, t) if fits is None else fits:
+                                inside, n, last = False, plain[j] + 1, t
+                                if not ends:
+                                    break
+                        if ends and of & 2:
+                            fits = to[1].get(t)
+                            if self._judge(to, 1, t) if fits is None else fits:
+                                ends = False
+                                out.append(plain[j] + 1)
+                                if not inside:
+                                    break
+                    j += 1
+                    t = w[j:i]
+                plain.append(n)
+                found = rows.get(last)
+                if found is None:
+                    found = rows[last] = ({}, {}, last)
+                row.append(found)
+            before = w
+            yield out.copy()
+
+    def _forget(self) -> None:
+        #: By last token: which tokens may follow it, inside a word and at its end.
+        self.rows: dict[str, tuple[dict[str, bool], dict[str, bool], str]] = {"": ({}, {}, "")}
+        self.judged = 0
+
+    def _judge(self, row: tuple[dict[str, bool], dict[str, bool], str], end: int, t: str) -> bool:
+        self.judged += 1
+        whole = t + self.end if end else t
+        row[end][t] = out = self.whole(whole) and (not row[2] or self.fit(row[2], whole))
         return out
 
 
@@ -253,6 +364,9 @@ class Prefixes:
         self.tok, self.counter = encoder(vocabulary, False).tok, PrefixCounter(vocabulary)
         self.piece = lru_cache(1 << 16)(self._piece)
         self.short = lru_cache(1 << 14)(self.counts_of)
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(self.counter.end)]] = True
 
     def counts(self, w: str, n: int) -> np.ndarray:
         """``n``: the library's count of the whole word."""
@@ -262,6 +376,37 @@ class Prefixes:
         out = self._by_program(w)
         return out if out is not None and out[-1] == n else self._by_library(w)
 
+    def counts_by_library(self, words: list[str], per: np.ndarray) -> np.ndarray:
+        """The library's count of each word, of known numbers of pieces; -1 where it doesn't cut a run of words into as many."""
+        out = np.full(len(words), -1)
+        starts = range(0, len(words), _RUN)
+        for i, e in zip(starts, self.tok.encode_batch_fast([" ".join(words[i : i + _RUN]) for i in starts], add_special_tokens=False), strict=True):
+            # A piece's last token says that it is the last.
+            ends = np.flatnonzero(self.last[np.array(e.ids)]) + 1
+            upto = np.cumsum(per[i : i + _RUN])
+            if len(ends) == upto[-1]:
+                out[i : i + _RUN] = np.diff(ends[upto - 1], prepend=0)
+        return out
+
+    def steps_of(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """By how much each character of a piece changes the count, as 16-bit integers."""
+        short = [p for p in pieces if p[0] == "'" and p[1:].isalpha()]
+        rest = [p for p in pieces if p[0] != "'" or not p[1:].isalpha()]
+        inner = "\n".join(rest).encode().decode("latin-1").translate(_LETTERED).split("\n") if rest else []
+        order = sorted(range(len(rest)), key=inner.__getitem__)
+        names = [*short, *[rest[i] for i in order]]
+        counts = [self._plain(p, "!" + "a" * (len(p) - 1)) for p in short]
+        for p, c in zip(names[len(short) :], self.counter.words([inner[i] for i in order]), strict=True):
+            counts.append(c if p.isascii() else [c[e - 1] for e in accumulate(len(x.encode()) for x in p)])
+        ends = np.cumsum(np.fromiter(map(len, counts), np.int64, len(counts)))
+        flat = np.fromiter(chain.from_iterable(counts), np.int64, int(ends[-1]))
+        steps = np.diff(flat, prepend=0)
+        steps[ends[:-1]] = flat[ends[:-1]]
+        if np.abs(steps).max() > np.iinfo(np.int16).max:
+            raise ValueError("a character changes the count by more than 16 bits hold")
+        data, places = steps.astype(np.int16).tobytes(), (2 * ends).tolist()
+        return zip(names, [data[a:b] for a, b in zip([0, *places], places, strict=False)], strict=True)
+
     def _by_library(self, w: str) -> np.ndarray:
         out: list[int] = []
         for i in range(0, len(w), 256):
@@ -315,6 +460,9 @@ def _byte_letters() -> list[str]:
 
 
 _LETTER = _byte_letters()
+#: The same for texts whose bytes are read as characters; a line feed stays.
+_LETTERED = {i: c for i, c in enumerate(_LETTER) if i != 10}
+
 
 @lru_cache
 def prefixes(vocabulary: str) -> Prefixes:
