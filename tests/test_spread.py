@@ -1,5 +1,6 @@
 """Fits whose single agents' cuts stay with the executors give what the driver's master gives, without a row an agent on the driver."""
 
+import os
 from pathlib import Path
 
 import numpy as np
@@ -15,6 +16,7 @@ from choicefold.plans import fit as plan
 from choicefold.plans.fit import NSLACK, Data, LoopConfig, Model, Problem, estimate, spreads
 from choicefold.plans.results import Publication
 from choicefold.plans.spread import SpreadMaster
+from choicefold.sources.tables import written
 
 ALL = 10**12
 
@@ -110,3 +112,16 @@ def test_a_step_leaves_the_driver_as_it_was(spark, sf):
     assert {x.suffix for x in Path(m.path.removeprefix("file:")).iterdir() if not x.name.startswith(".")} == {".parquet"}
     m.close()
     p.close()
+
+
+def test_folders_of_steps_are_made_without_child_processes(spark, tmp_path):
+    """Hadoop's own folders get 0755 by ``chmod``, whatever the driver's umask; these keep it."""
+    before = os.umask(0o077)
+    try:
+        written(spark.range(7), f"file://{tmp_path}/a b/made")
+    finally:
+        os.umask(before)
+    made = tmp_path / "a b" / "made"
+    assert made.stat().st_mode & 0o777 == 0o700
+    assert spark.read.parquet(f"file://{made}").count() == 7
+    assert not list(made.glob("_*"))
