@@ -136,6 +136,12 @@ def give_back() -> None:
         pass
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """Free heap of the executors goes back to the machine: after steps inside the JVM it is grown to its limit, and Python workers need room beside it."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Each batch in runs of rows with about ``most`` bytes of text (one row at least)."""
     for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicefold.llm import jaccard, mixing, packing, pii, quality_classifier
-from choicefold.llm.common import Scratch
+from choicefold.llm.common import Scratch, give_back_heaps
 from choicefold.llm.tokens import vocabulary
 
 
@@ -44,6 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of a power of two tokens, none across documents."""
+    give_back_heaps(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=1, with_ids=True)
 
 

@@ -40,3 +40,15 @@ def test_stages(spark, sf):
         assert (r["length"], r["ids_crc32"], r["doc_tokens"]) == want[r["doc_id"], r["start"]]
         got[r["doc_id"], r["start"]] = got.get((r["doc_id"], r["start"]), 0) + 1
     assert got == {(d, s): copies[d] for d, s in want}
+
+
+def test_packing_begins_with_collected_heaps(spark, sf):
+    """Before its Python workers take memory, the free heap of earlier stages is given back."""
+
+    def collections() -> int:
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = collections()
+    p.packed(spark, docs, sf)
+    assert collections() > before
